@@ -240,6 +240,7 @@ def _prepared(v: Views):
     return preprocess.prepare(
         v.readings(), v.buildings(), v.weather(), preprocess.assign_splits(v.readings()),
         hourly_weather=True, check_weather=False,
+        uses=scaling.categories(v.buildings(), "primary_use"),
     )
 
 

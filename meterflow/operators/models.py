@@ -44,9 +44,11 @@ def linear() -> LinearRegression:
     return LinearRegression(labelCol="y", fitIntercept=True)
 
 
-def robust_linear(regularization: float = 1e-3) -> LinearRegression:
+def robust_linear(regularization: float = 1e-3, tolerance: float = 1e-4) -> LinearRegression:
     """Linear fit whose loss grows linearly for large errors."""
-    return LinearRegression(labelCol="y", loss="huber", regParam=regularization, maxIter=100)
+    return LinearRegression(
+        labelCol="y", loss="huber", regParam=regularization, maxIter=100, tol=tolerance
+    )
 
 
 def forest(trees: int = 100, depth: int = 30, seed: int = 0) -> RandomForestRegressor:
@@ -62,11 +64,10 @@ def boosted(
 ) -> GBTRegressor:
     """Boosted trees; with a ``validation`` column, stops once its loss no longer falls."""
     model = GBTRegressor(
-        labelCol="y", maxIter=iterations, maxDepth=depth, maxBins=bins, stepSize=step, seed=seed
+        labelCol="y", maxIter=iterations, maxDepth=depth, maxBins=bins, stepSize=step, seed=seed,
+        validationTol=tolerance,
     )
-    if validation:
-        model = model.setValidationIndicatorCol(validation).setValidationTol(tolerance)
-    return model
+    return model.setValidationIndicatorCol(validation) if validation else model
 
 
 def fourier_features(
@@ -131,13 +132,9 @@ def fit_and_score(
 ) -> Scored:
     """Fit on some parts of ``rows`` (columns ``split``, ``y``, ``features``), score another.
 
-    The rows are kept for the passes of the fit; what an executor loses is recomputed.
+    The estimators keep the training rows themselves for the passes of a fit.
     """
-    kept = rows.persist()
-    try:
-        model = estimator.fit(kept.where(F.col("split").isin(*train)))
-    finally:
-        kept.unpersist()
+    model = estimator.fit(rows.where(F.col("split").isin(*train)))
     predictions = score(model, rows.where(F.col("split") == test), stats)
     metrics = predictions.agg(*metric_columns()).withColumn("model", F.lit(name))
     return Scored(model, predictions.drop("features"), metrics)

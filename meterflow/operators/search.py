@@ -174,7 +174,7 @@ def search(
             for point in points:
                 done += 1
                 stamp = datetime.now(timezone.utc).replace(tzinfo=None)
-                trial = evaluate(Params.decode(point))
+                trial = evaluate(Params.decode(point.tolist()))
                 batch.append({**trial, "algorithm": name, "eval_num": done, "timestamp": stamp})
             fitness = np.array([trial["VAL_RMSE_orig"] for trial in batch])
             rows += batch

@@ -54,15 +54,19 @@ def prepare(
     hourly_weather: bool = False,
     check_weather: bool = True,
     include_group_id: bool = False,
+    uses: Sequence[str] | None = None,
 ) -> Prepared:
     """Tagged readings with building, weather, calendar and one-hot features.
 
+    ``uses`` are the building uses that get a column, by default those of split buildings.
+
     The target stays on its row through the joins; a repeated weather key would multiply
     rows, so it is refused.
     """
     if check_weather:
         joins.require_unique(weather, ["site_id", "timestamp"])
-    uses = scaling.categories(joins.members_of(buildings, split_ids), "primary_use")
+    if uses is None:
+        uses = scaling.categories(joins.members_of(buildings, split_ids), "primary_use")
     kept = [c for c in weather.columns if c not in DROPPED_COLUMNS or c == "timestamp"]
     tagged = splits.tag_splits(readings, split_ids).withColumn("y", F.col("meter_reading"))
     joined = joins.join_weather(
