@@ -4,10 +4,11 @@
 cluster as soon as one series holds a large share of the table (a single household meter
 holds all of it). ``Series.measure`` therefore counts rows per series first. When every
 series fits a task, plain windows run with one shuffle. When some do not, only those are
-cut, into cells: equal-width ranges of the order column, refined again wherever a range is
-still too full, and by the tie-break column where all times are equal. Cell bounds come
+cut, into bins: equal-width ranges of the order column, cut again wherever a range is
+still too full, and by the tie-break column where all times are equal. Neighbouring bins
+are merged into runs of about one chunk, and each run is one window partition. Bounds come
 from exact counts, minima and maxima, so a re-run after a lost executor assigns every row
-to the same cell.
+to the same run.
 
 Order columns are a measure or time followed by a unique integer; neither may be null.
 """
@@ -18,12 +19,14 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterflow.functions.calendar import epoch_micros
+from meterflow.session import small_table
 
 ROWS_PER_CHUNK = 2_000_000
 # Bounds every list the driver holds and every table broadcast here, whatever the input size.
@@ -45,11 +48,16 @@ class Series:
     def measure(self, df: DataFrame) -> "Layout":
         """Count the series of ``df`` and cut those too long for one task."""
         counts = self.with_axes(df).groupBy(*self.keys).agg(*_extent())
-        total, longest = counts.agg(F.sum("n"), F.max("n")).first()
-        layout = Layout(self, total or 0, max(self.rows_per_chunk, (total or 0) // MAX_CHUNKS))
-        if (longest or 0) > layout.chunk:
+        if self.keys:
+            total, longest = counts.agg(F.sum("n"), F.max("n")).first()
+        else:
+            whole = counts.first()
+            total = longest = whole.n
+        chunk = max(self.rows_per_chunk, (total or 0) // MAX_CHUNKS)
+        layout = Layout(self, total or 0, chunk)
+        if (longest or 0) > chunk:
             # No more than total / chunk series can be longer than a chunk.
-            layout.cut(df, counts.where(F.col("n") > layout.chunk).collect())
+            layout.cut(df, counts.where(F.col("n") > chunk).collect() if self.keys else [whole])
         return layout
 
     def with_axes(self, df: DataFrame) -> DataFrame:
@@ -76,7 +84,7 @@ def _extent() -> list[Column]:
 
 
 @dataclass(frozen=True)
-class Cell:
+class Bin:
     """A slice of one long series; ``path`` sorts the slices of a series in order."""
 
     root: int
@@ -94,6 +102,27 @@ class Cell:
         return (by_tie, lo, hi - lo, parts) if hi > lo else None
 
 
+@dataclass(frozen=True)
+class Run:
+    """Neighbouring bins of one series: rows ``start`` (exclusive) to ``end`` by position."""
+
+    id: int
+    root: int
+    start: int
+    end: int
+    bins: tuple[tuple[int, int], ...]
+
+    def edge(self, rows: int, last: bool) -> list[int]:
+        """Bins that hold the last (or first) ``rows`` rows."""
+        found, covered = [], 0
+        for bin_id, n in reversed(self.bins) if last else self.bins:
+            if covered >= rows:
+                break
+            found.append(bin_id)
+            covered += n
+        return found
+
+
 @dataclass
 class Layout:
     """How the series of one table are spread over tasks."""
@@ -101,9 +130,9 @@ class Layout:
     series: Series
     total: int
     chunk: int
-    levels: list[DataFrame] = field(default_factory=list)
-    offsets: DataFrame | None = None
-    spans: list[tuple[int, int, int]] = field(default_factory=list)
+    levels: list[DataFrame | tuple] = field(default_factory=list)
+    runs: list[Run] = field(default_factory=list)
+    bins: DataFrame | None = None
 
     @property
     def is_cut(self) -> bool:
@@ -112,161 +141,190 @@ class Layout:
     # -- cutting ---------------------------------------------------------------
 
     def cut(self, df: DataFrame, long_series: list[Row]) -> None:
-        spark = df.sparkSession
-        keys = list(self.series.keys)
+        spark, keys = df.sparkSession, list(self.series.keys)
         key_fields = [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
         pending = {
-            i: (tuple(row[k] for k in keys), Cell(i, (), row)) for i, row in enumerate(long_series)
+            i: (tuple(row[k] for k in keys), Bin(i, (), row)) for i, row in enumerate(long_series)
         }
-        final: dict[int, Cell] = {}
+        final: dict[int, Bin] = {}
         next_id = 0
         while pending:
             rows, children, first_new = [], {}, next_id
-            for cell_id, (match, cell) in pending.items():
-                division = cell.division(self.chunk)
+            for bin_id, (match, parent) in pending.items():
+                division = parent.division(self.chunk)
                 if division is None:
-                    final[cell_id] = cell
+                    final[bin_id] = parent
                     continue
                 rows.append((*match, next_id, *division))
                 for part in range(division[3]):
-                    children[next_id + part] = (cell.root, cell.path + (part,))
+                    children[next_id + part] = (parent.root, parent.path + (part,))
                 next_id += division[3]
             if not rows:
                 break
-            fields = key_fields if not self.levels else [T.StructField("_k0", T.LongType())]
-            schema = T.StructType(fields + _DIVISION.fields)
-            self.levels.append(spark.createDataFrame(rows, schema))
+            if not keys and not self.levels:
+                self.levels.append(rows[0])
+            else:
+                fields = [T.StructField("_k0", T.LongType())] if self.levels else key_fields
+                schema = T.StructType(fields + _DIVISION.fields)
+                self.levels.append(small_table(spark, rows, schema))
             found = (
-                self.series.with_axes(self.assign(df))
-                .where(F.col("_cell") >= first_new)
-                .groupBy("_cell").agg(*_extent())
-                .collect()
+                self._binned(df).where(F.col("_bin") >= first_new)
+                .groupBy("_bin").agg(*_extent()).collect()
             )
             pending = {}
             for row in found:
-                cell = Cell(*children[row["_cell"]], row)
+                child = Bin(*children[row["_bin"]], row)
                 if row.n > self.chunk:
-                    pending[row["_cell"]] = ((row["_cell"],), cell)
+                    pending[row["_bin"]] = ((row["_bin"],), child)
                 else:
-                    final[row["_cell"]] = cell
-        self._number(spark, final)
-
-    def _number(self, spark, cells: dict[int, Cell]) -> None:
-        rows, done, root = [], 0, None
-        for cell_id, cell in sorted(cells.items(), key=lambda c: (c[1].root, c[1].path)):
-            if cell.root != root:
-                root, done = cell.root, 0
-            rows.append((cell_id, cell.root, done))
-            self.spans.append((cell_id, done, done + cell.extent.n))
-            done += cell.extent.n
-        self.offsets = spark.createDataFrame(rows, "_cell long, _root long, _offset long")
-
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``_cell``: the slice of a long series, null for series left whole."""
-        out = self.series.with_axes(df).withColumn("_cell", F.lit(None).cast("long"))
+                    final[row["_bin"]] = child
+        self._merge(spark, final)
+
+    def _merge(self, spark: SparkSession, bins: dict[int, Bin]) -> None:
+        ordered = sorted(bins.items(), key=lambda item: (item[1].root, item[1].path))
+        for root, members in groupby(ordered, key=lambda item: item[1].root):
+            done, held = 0, []
+            for bin_id, part in members:
+                n = part.extent.n
+                if held and sum(size for _, size in held) + n > self.chunk:
+                    done = self._close(root, done, held)
+                    held = []
+                held.append((bin_id, n))
+            self._close(root, done, held)
+        rows = [
+            (bin_id, run.id, run.start) for run in self.runs for bin_id, _ in run.bins
+        ]
+        self.bins = small_table(spark, rows, _longs("_bin", "_run", "_start"))
+
+    def _close(self, root: int, done: int, held: list[tuple[int, int]]) -> int:
+        end = done + sum(n for _, n in held)
+        self.runs.append(Run(len(self.runs), root, done, end, tuple(held)))
+        return end
+
+    def _binned(self, df: DataFrame) -> DataFrame:
+        """Add ``_bin``: the slice of a long series, null for series left whole."""
+        out = self.series.with_axes(df).withColumn("_bin", F.lit(None).cast("long"))
         for depth, level in enumerate(self.levels):
-            on = list(self.series.keys) if depth == 0 else ["_cell"]
+            if isinstance(level, tuple):
+                # A single series: its one division needs no join.
+                values = [F.lit(v).cast(f.dataType) for v, f in zip(level, _DIVISION.fields)]
+                out = out.withColumn("_bin", _part_of(*values))
+                continue
+            on = list(self.series.keys) if depth == 0 else ["_bin"]
             match = reduce(
-                Column.__and__,
-                [out[name].eqNullSafe(level[f"_k{i}"]) for i, name in enumerate(on)],
-                F.lit(True),
+                Column.__and__, [out[name].eqNullSafe(level[f"_k{i}"]) for i, name in enumerate(on)]
             )
-            axis = F.when(F.col("_by_tie"), F.col("_tie").cast("double"))
-            axis = axis.otherwise(F.col("_axis").cast("double"))
-            part = F.floor((axis - F.col("_lo")) / F.col("_width") * F.col("_parts"))
-            part = F.least(part, F.col("_parts") - 1)
+            found = _part_of(*[F.col(name) for name in _DIVISION.names])
             out = (
                 out.join(F.broadcast(level), match, "left")
-                .withColumn("_cell", F.coalesce(F.col("_base") + part, "_cell"))
-                .drop(*level.columns)
+                .withColumn("_bin", F.coalesce(found, "_bin")).drop(*level.columns)
             )
-        return out.drop("_axis", "_tie")
+        return out
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """Add ``_bin``, ``_run`` and the run's ``_start``, null for series left whole."""
+        return self._binned(df).drop("_axis", "_tie").join(F.broadcast(self.bins), "_bin", "left")
 
     # -- use -------------------------------------------------------------------
 
     def positions(self, df: DataFrame, name: str = "_pos") -> DataFrame:
         """Number the rows of each series from 1 in order."""
-        keys, order = list(self.series.keys), list(self.series.order)
         if not self.is_cut:
-            whole = Window.partitionBy(*keys).orderBy(*order)
-            return df.withColumn(name, F.row_number().over(whole).cast("long"))
-        inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
+            return df.withColumn(name, F.row_number().over(self._window()).cast("long"))
         return (
-            self.assign(df)
-            .withColumn("_rank", F.row_number().over(inside).cast("long"))
-            .join(F.broadcast(self.offsets), "_cell", "left")
-            .withColumn(name, F.col("_rank") + F.coalesce("_offset", F.lit(0)))
-            .drop("_cell", "_root", "_rank", "_offset")
+            self.placed(df)
+            .withColumn(name, self._position(self._window("_run")))
+            .drop("_bin", "_run", "_start")
         )
 
+    def _window(self, *extra: str) -> WindowSpec:
+        return Window.partitionBy(*self.series.keys, *extra).orderBy(*self.series.order)
+
+    @staticmethod
+    def _position(window: WindowSpec, reach: int = 0) -> Column:
+        """Place in the series of a row whose run also holds up to ``reach`` rows before it."""
+        before = F.greatest(F.col("_start") - reach, F.lit(0))
+        return F.row_number().over(window).cast("long") + F.coalesce(before, F.lit(0))
+
     def over(
         self, df: DataFrame, build: Build, preceding: int = 0, following: int = 0
     ) -> DataFrame:
         """Add the window columns ``build(window, position)`` returns.
 
-        Frames may reach ``preceding`` rows back and ``following`` rows ahead. Long series
-        are cut into runs of equal length and each run gets copies of the rows its frames
-        reach in the neighbouring runs; the copies are dropped afterwards.
+        Frames may reach ``preceding`` rows back and ``following`` rows ahead. A run of a cut
+        series gets copies of the rows its frames reach in the neighbouring runs; they are
+        dropped afterwards. All rows are shuffled once, as for whole series.
         """
-        keys, order = list(self.series.keys), list(self.series.order)
         if not self.is_cut:
-            whole = Window.partitionBy(*keys).orderBy(*order)
+            whole = self._window()
             return df.withColumns(build(whole, F.row_number().over(whole)))
-        run = max(self.chunk, preceding, following)
-        index = F.col("_pos") - 1
-        home = F.floor(index / run)
-        into_run = index % run
-        copies = F.array(
-            home,
-            F.when(into_run >= run - preceding, home + 1),
-            F.when((into_run < following) & (home > 0), home - 1),
+        rows = self.placed(df)
+        spread = rows.drop("_bin").withColumn("_copy", F.lit(False))
+        for reach, last in ((preceding, True), (following, False)):
+            if reach:
+                spread = spread.unionByName(self._copies(rows, reach, last))
+        inside = self._window("_run")
+        return (
+            spread.withColumns(build(inside, self._position(inside, preceding)))
+            .where(~F.col("_copy")).drop("_run", "_start", "_copy")
         )
-        spread = self.positions(df).withColumn("_home", home)
-        spread = spread.withColumn("_run", F.explode(F.array_compact(copies)))
-        inside = Window.partitionBy(*keys, "_run").orderBy("_pos")
+
+    def _copies(self, rows: DataFrame, reach: int, last: bool) -> DataFrame:
+        """The last (or first) rows of every run, once for each run whose frames reach them.
+
+        Only the outer bins of a run are sorted, and each task keeps ``reach`` rows of a run.
+        """
+        links, edges = [], set()
+        for run in self.runs:
+            step = 1 if last else -1
+            other, gap = run.id + step, 0
+            while gap < reach and 0 <= other < len(self.runs) and self.runs[other].root == run.root:
+                links.append((run.id, other, reach - gap))
+                edges.update(run.edge(reach - gap, last))
+                gap += self.runs[other].end - self.runs[other].start
+                other += step
+        spark = rows.sparkSession
+        near = small_table(spark, [(b,) for b in sorted(edges)], _longs("_bin"))
+        targets = small_table(spark, links, _longs("_run", "_to", "_rows"))
+        primary, tie = self.series.order
+        order = [F.col(c).desc() if last else F.col(c).asc() for c in (primary, tie)]
+        outer = Window.partitionBy("_run").orderBy(*order)
         return (
-            spread.withColumns(build(inside, F.col("_pos")))
-            .where(F.col("_run") == F.col("_home"))
-            .drop("_pos", "_home", "_run")
+            rows.join(F.broadcast(near), "_bin", "left_semi").drop("_bin")
+            .withColumn("_rank", F.row_number().over(outer)).where(F.col("_rank") <= reach)
+            .join(F.broadcast(targets), "_run").where(F.col("_rank") <= F.col("_rows"))
+            .withColumns({"_run": F.col("_to"), "_copy": F.lit(True)})
+            .drop("_to", "_rows", "_rank")
         )
 
     def running(self, df: DataFrame, **totals: tuple[str, Column]) -> DataFrame:
         """Running ``sum``, ``min`` or ``max`` from the start of each series.
 
         ``totals`` maps a new column to ``(kind, value)``. A cut series runs inside each
-        cell and adds what the earlier cells carry over, one small row per cell.
+        run and adds what the earlier runs carry over, one small row per run.
         """
-        keys, order = list(self.series.keys), list(self.series.order)
-        if not self.is_cut:
-            whole = Window.partitionBy(*keys).orderBy(*order)
-            upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            return df.withColumns(
-                {name: _KINDS[kind](value).over(upto) for name, (kind, value) in totals.items()}
-            )
-        placed = self.assign(df)
-        earlier = (
-            Window.partitionBy("_root").orderBy("_offset")
-            .rowsBetween(Window.unboundedPreceding, -1)
+        rows = self.placed(df).drop("_bin", "_start") if self.is_cut else df
+        upto = self._window(*(["_run"] if self.is_cut else []))
+        upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = rows.withColumns(
+            {name: _KINDS[kind](value).over(upto) for name, (kind, value) in totals.items()}
         )
-        per_cell = (
-            placed.where(F.col("_cell").isNotNull()).groupBy("_cell")
+        if not self.is_cut:
+            return local
+        per_run = (
+            rows.where(F.col("_run").isNotNull()).groupBy("_run")
             .agg(*[_KINDS[kind](value).alias(f"_c_{name}") for name, (kind, value) in totals.items()])
-            .join(F.broadcast(self.offsets), "_cell")
+            .join(F.broadcast(self._roots(df.sparkSession)), "_run")
+        )
+        earlier = (
+            Window.partitionBy("_root").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
         )
-        carried = per_cell.select(
-            "_cell",
+        # One row per run: their number is bounded, so the result can be broadcast.
+        carried = per_run.select(
+            "_run",
             *[_KINDS[kind](f"_c_{name}").over(earlier).alias(f"_c_{name}")
               for name, (kind, _) in totals.items()],
         )
-        inside = (
-            Window.partitionBy(*keys, "_cell").orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        local = placed.withColumns(
-            {name: _KINDS[kind](value).over(inside) for name, (kind, value) in totals.items()}
-        )
-        # ``carried`` has one row per cell: bounded by MAX_CHUNKS, so it can be broadcast.
-        joined = local.join(F.broadcast(carried), "_cell", "left")
         merged = {}
         for name, (kind, _) in totals.items():
             before = F.col(f"_c_{name}")
@@ -276,29 +334,38 @@ class Layout:
                 )
             else:
                 merged[name] = (F.least if kind == "min" else F.greatest)(F.col(name), before)
-        return joined.withColumns(merged).drop("_cell", *[f"_c_{name}" for name in totals])
+        joined = local.join(F.broadcast(carried), "_run", "left")
+        return joined.withColumns(merged).drop("_run", *[f"_c_{name}" for name in totals])
+
+    def _roots(self, spark: SparkSession) -> DataFrame:
+        return small_table(spark, [(r.id, r.root) for r in self.runs], _longs("_run", "_root"))
 
     def rows_at(self, df: DataFrame, positions: Sequence[int]) -> DataFrame:
-        """The rows at the given 1-based positions of a table that is one single series."""
+        """The rows at the given 1-based positions of a table that is one single series.
+
+        Of a cut series only the runs that hold a wanted position are sorted.
+        """
         if self.series.keys:
             raise ValueError("rows_at needs a series without keys")
         wanted = [int(p) for p in positions]
-        if self.is_cut:
-            near = [
-                cell for cell, start, end in self.spans
-                if any(start < p <= end for p in wanted)
-            ]
-            inside = Window.partitionBy("_cell").orderBy(*self.series.order)
-            numbered = (
-                self.assign(df).where(F.col("_cell").isin(near))
-                .withColumn("_rank", F.row_number().over(inside).cast("long"))
-                .join(F.broadcast(self.offsets), "_cell")
-                .withColumn("_pos", F.col("_rank") + F.col("_offset"))
-                .drop("_cell", "_root", "_rank", "_offset")
-            )
-        else:
-            numbered = self.positions(df)
-        return numbered.where(F.col("_pos").isin(wanted))
+        if not self.is_cut:
+            return self.positions(df).where(F.col("_pos").isin(wanted))
+        near = [r.id for r in self.runs if any(r.start < p <= r.end for p in wanted)]
+        return (
+            self.placed(df).where(F.col("_run").isin(near))
+            .withColumn("_pos", self._position(self._window("_run")))
+            .where(F.col("_pos").isin(wanted)).drop("_bin", "_run", "_start")
+        )
+
+
+def _part_of(base: Column, by_tie: Column, lo: Column, width: Column, parts: Column) -> Column:
+    """Bin of a row: the equal part of a division its order value falls into."""
+    value = F.when(by_tie, F.col("_tie").cast("double")).otherwise(F.col("_axis").cast("double"))
+    return base + F.least(F.floor((value - lo) / width * parts), parts - 1)
+
+
+def _longs(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(name, T.LongType()) for name in names])
 
 
 _DIVISION = T.StructType([

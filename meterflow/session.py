@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Runtime re-planning does the join-side work: broadcast by measured size, split skewed
 # join partitions, merge small shuffle partitions.
@@ -46,3 +50,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meterflow-"))
     return df.checkpoint()
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows of the driver as a table the optimizer knows the size of.
+
+    Sent as Arrow they become part of the plan; a plain list would be read by a job.
+    """
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=schema)

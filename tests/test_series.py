@@ -52,10 +52,20 @@ def test_cut_equals_whole(spark, chunk):
         df.unpersist()
 
 
-def test_no_cell_is_longer_than_a_chunk(spark):
+def test_no_run_is_longer_than_a_chunk(spark):
     for name, df in frames(spark):
         layout = Series(["k"], ("t", "id"), 20).measure(df)
-        assert max(end - start for _, start, end in layout.spans) <= 20, name
+        assert max(run.end - run.start for run in layout.runs) <= 20, name
+
+
+def test_frames_may_be_longer_than_runs(spark):
+    df = spark.range(60).selectExpr("0 AS k", "id AS t", "id", "id % 7 AS v")
+
+    def wide(w, pos):
+        return {"s": F.sum("v").over(w.rowsBetween(-25, 11)), "p": pos.cast("long")}
+
+    whole = Series(["k"], ("t", "id")).measure(df).over(df, wide, 25, 11)
+    assert same(Series(["k"], ("t", "id"), 4).measure(df).over(df, wide, 25, 11), whole)
 
 
 def test_rows_at(spark):
