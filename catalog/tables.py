@@ -24,7 +24,8 @@ joined AS (
          meter_reading AS y, lag1 AS p
   FROM lagged LEFT JOIN buildings USING (building_id) WHERE pos > 1)
 SELECT primary_use, weekday, COUNT(*) AS n, ROUND(SQRT(AVG((p - y) * (p - y))), 6) AS RMSE,
-  ROUND(AVG(ABS(p - y)), 6) AS MAE, ROUND(100 * AVG(ABS((p - y) / y)), 4) AS MAPE,
+  ROUND(AVG(ABS(p - y)), 6) AS MAE, 
+  ROUND(100 * AVG(CASE WHEN y <> 0 THEN ABS((p - y) / y) END), 4) AS MAPE,
   ROUND(1 - AVG((p - y) * (p - y)) / VAR_POP(y), 6) AS R2,
   ROUND(SQRT(AVG(POW(LN(1 + p) - LN(1 + y), 2))), 6) AS RMSLE
 FROM joined GROUP BY 1, 2""")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.operators.series import ROWS_PER_CHUNK, Series
+from meterflow.session import broadcast_if_small
 
 METRICS = ("MSE", "RMSE", "MAE", "MAPE", "MAPE_abs1", "MAPE_clipped", "R2", "RMSLE")
 
@@ -74,7 +75,7 @@ def quantiles(
     """
     slim = df.select(by, value, tie)
     layout = Series((by,), (value, tie), rows_per_chunk).measure(slim)
-    sizes = slim.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = broadcast_if_small(slim.groupBy(by).agg(F.count(F.lit(1)).alias("_n")))
     ranked = layout.positions(slim).join(sizes, by)
     place = {p: (F.col("_n") - 1) * F.lit(float(p)) + 1 for p in probabilities}
     wanted = F.lit(False)
@@ -102,7 +103,7 @@ def error_boxes(
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     error = F.col("abs_error")
     inside = error.between(F.col("q1") - reach, F.col("q3") + reach)
-    return errors.join(boxes, by).groupBy(by, "q1", "median", "q3").agg(
+    return errors.join(broadcast_if_small(boxes), by).groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(inside, error)).alias("whisker_low"),
         F.max(F.when(inside, error)).alias("whisker_high"),
     )

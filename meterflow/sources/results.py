@@ -8,11 +8,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterflow.operators.metrics import clamped
 from meterflow.operators.reports import label_from_name
 from meterflow.operators.resample import ResampleJob, resample
 from meterflow.operators.splits import first_rows
+from meterflow.schema import TRIALS
 
 
 def latest_predictions(artifacts: DataFrame, by: str = "algorithm") -> DataFrame:
@@ -161,6 +163,18 @@ def export_resampled(
     return written
 
 
+def read_trials(spark: SparkSession, path: str, labels: Sequence[tuple[str, str]]) -> DataFrame:
+    """Trial logs ``search_iterations_*.csv`` as one table; empty files add nothing.
+
+    The algorithm is the label of the longest marker in the file name, else the file name.
+    """
+    columns = T.StructType([f for f in TRIALS if f.name != "algorithm"])
+    name = F.col("_metadata.file_name")
+    return spark.read.csv(
+        path, header=True, schema=columns, pathGlobFilter="search_iterations_*.csv",
+    ).withColumn("algorithm", label_from_name(name, labels, name))
+
+
 def read_labelled(
     spark: SparkSession,
     path: str,

@@ -8,6 +8,7 @@ from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from meterflow.constants import FAILED_TRIAL_FITNESS
+from meterflow.functions.vectors import rowwise
 from meterflow.operators import models, reports, search
 from meterflow.operators.scaling import ColumnStats
 from meterflow.plans import forecast, household
@@ -61,6 +62,12 @@ def test_forecast_on_household_windows(spark):
     assert scored.metrics.first().R2 > 0.99
 
 
+def test_rowwise_function(spark):
+    df = spark.range(50).selectExpr("id", "array(id, 2.0D * id) AS x")
+    out = df.withColumn("y", rowwise(lambda x: (x**2).sum(axis=1))("x")).collect()
+    assert [r.y for r in out] == [5.0 * r.id**2 for r in out]
+
+
 def test_decoding_clamps():
     assert search.Params.decode([0, 0, 0, 0]) == search.Params(32, 1, 3, 0.005)
     assert search.Params.decode([1, 1, 1, 1]) == search.Params(512, 4, 32, 0.02)

@@ -91,7 +91,7 @@ def test_partition_count_does_not_matter(spark):
     assert results[0] == results[1] == results[2]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6), min_size=30, max_size=80), st.integers(2, 12))
 def test_positions_of_any_values(spark, values, chunk):
     rows = [(v, i) for i, v in enumerate(values)]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterflow.operators.resample import make_jobs
-from meterflow.schema import HOUSEHOLD
+from meterflow.schema import HOUSEHOLD, TRIALS
 from meterflow.sources import readers, results, splits
 
 
@@ -105,3 +105,15 @@ def test_labelled_files_with_different_columns(spark, tmp_path):
     out = results.read_labelled(spark, str(tmp_path), [("A", "plain"), ("Mod_A", "modified")])
     assert sorted((r.Model, r.RMSE, r.R2) for r in out.collect()) == [
         ("modified", "1", "2"), ("plain", "3", None)]
+
+
+def test_trial_logs(spark, tmp_path):
+    names = [f.name for f in TRIALS if f.name != "algorithm"]
+    line = ",".join("2020-01-01 00:00:00" if n == "timestamp" else "7" for n in names)
+    (tmp_path / "search_iterations_Mod_A.csv").write_text(",".join(names) + "\n" + line + "\n")
+    (tmp_path / "search_iterations_A.csv").write_text(",".join(names) + "\n" + line + "\n" + line + "\n")
+    (tmp_path / "search_iterations_B.csv").write_text("")
+    (tmp_path / "metrics.csv").write_text("RMSE\n1\n")
+    out = results.read_trials(spark, str(tmp_path), [("A", "plain"), ("Mod_A", "modified")])
+    assert sorted((r.algorithm, r.eval_num) for r in out.collect()) == [
+        ("modified", 7), ("plain", 7), ("plain", 7)]
