@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog import oracle as o
 from catalog.registry import query, r6
 from catalog.series import _prepared
-from catalog.views import READING_ORDER, SMALL_CHUNK, Views
+from catalog.views import SMALL_CHUNK, Views
 from meterflow.functions.scalars import decode_params, logistic_map
 from meterflow.operators import models, reports, search
 from meterflow.plans import forecast, household, preprocess
@@ -66,19 +66,18 @@ def robust_linear(v: Views):
 @query()
 def gbt_forecast(v: Views):
     data = household.household_data(v.household(), 3, 7, rows_per_chunk=SMALL_CHUNK)
-    rows = forecast.window_frame(data).withColumn("_held_out", F.col("split") == "val")
+    rows = forecast.window_frame(data.windows).withColumn("_held_out", F.col("split") == "val")
     model = models.boosted(5, validation="_held_out")
-    return _shown(models.fit_and_score(model, rows, data.stats_for_target(), "boosted").metrics)
+    return _shown(models.fit_and_score(model, rows, data.parts.target_stats(), "boosted").metrics)
 
 
 def _objective(v: Views) -> search.Objective:
-    parts, _, stats, _ = household.scaled_parts(
-        v.household(), 3, ("P",), rows_per_chunk=SMALL_CHUNK)
+    parts = household.scaled_parts(v.household(), 3, ("P",), rows_per_chunk=SMALL_CHUNK)
 
     def windowing(length: int) -> DataFrame:
-        return forecast.sequence_frame(parts, ["P"], length, READING_ORDER, SMALL_CHUNK)
+        return forecast.window_frame(parts.windows(length, ["P"]))
 
-    return search.Objective(windowing, stats.renamed("P", "y"), epochs=2)
+    return search.Objective(windowing, parts.target_stats(), epochs=2)
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterflow.functions.calendar import hour_start
 from meterflow.operators.series import Layout, Series
 from meterflow.operators.windows import lag_features
 
@@ -47,7 +48,7 @@ class Views:
         sites = self.table("customer").select(
             F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("site_id")
         )
-        hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("timestamp")
+        hour = hour_start(F.col("ts")).alias("timestamp")
         return (
             self.table("events").where("event_type = 'view'").join(sites, "user_id")
             .groupBy("site_id", hour)

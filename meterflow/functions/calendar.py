@@ -21,6 +21,11 @@ def epoch_micros(ts: Column) -> Column:
     return seconds * 1_000_000 + micros
 
 
+def hour_start(ts: Column) -> Column:
+    """Start of the hour of a zone-less timestamp, without a zone conversion."""
+    return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(ts))
+
+
 def calendar_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Minute of hour, hour of day and weekday (Monday = 0) of ``ts``."""
     return df.withColumns(

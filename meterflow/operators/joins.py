@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterflow.functions.calendar import hour_start
 from meterflow.operators.series import Layout
 
 
@@ -29,7 +30,7 @@ def join_weather(readings: DataFrame, weather: DataFrame, hourly: bool = False)
     if not hourly:
         return readings.join(weather, ["site_id", "timestamp"], "left")
     hours = weather.withColumnRenamed("timestamp", "_hour")
-    keyed = readings.withColumn("_hour", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
+    keyed = readings.withColumn("_hour", hour_start(F.col("timestamp")))
     return keyed.join(hours, ["site_id", "_hour"], "left").drop("_hour")
 
 

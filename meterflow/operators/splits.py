@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.constants import LOOKBACK_ROWS, TRAIN_FRACTION, VALIDATION_WITHIN_TRAIN
-from meterflow.operators.series import ROWS_PER_CHUNK, Series
+from meterflow.constants import (
+    GROUP_SPLIT_FRACTIONS, LOOKBACK_ROWS, TRAIN_FRACTION, VALIDATION_WITHIN_TRAIN,
+)
+from meterflow.operators.series import ROWS_PER_CHUNK, Layout, Series
 from meterflow.session import checkpointed
 
 SPLITS = ("train", "val", "test")
@@ -38,14 +42,30 @@ def group_split_sizes(total: int, fractions: Sequence[float]) -> dict[str, int]:
     return dict(zip(SPLITS, (first, second, total - first - second)))
 
 
-def cut_by_position(
+@dataclass(frozen=True)
+class Cut:
+    """A table labelled with ``split`` by position, and where its parts lie."""
+
+    frame: DataFrame
+    layout: Layout
+    sizes: Mapping[str, int]
+
+    def place(self, position: Column, split: str = "split") -> Column:
+        """Position inside its part of a row at ``position`` in the whole table."""
+        start, shift = 0, F.lit(0)
+        for part, size in self.sizes.items():
+            shift = F.when(F.col(split) == part, F.lit(start)).otherwise(shift)
+            start += size
+        return position - shift
+
+
+def cut_positions(
     df: DataFrame,
     order: tuple[str, str],
     sizes: Mapping[str, int] | None = None,
     option: int = 2,
     rows_per_chunk: int = ROWS_PER_CHUNK,
-    name: str = "split",
-) -> DataFrame:
+) -> Cut:
     """Label rows by their position in the whole table.
 
     Only the first row of each part is looked up; the label is then a comparison with those
@@ -54,20 +74,31 @@ def cut_by_position(
     """
     slim = df.select(*dict.fromkeys(order))
     layout = Series((), order, rows_per_chunk).measure(slim)
-    sizes = dict(sizes) if sizes is not None else split_sizes(layout.total, option)
+    wanted = dict(sizes) if sizes is not None else split_sizes(layout.total, option)
     ends, done = {}, 0
-    for part, size in sizes.items():
+    for part, size in wanted.items():
         done = min(done + size, layout.total)
         ends[part] = done
     found = {
         row["_pos"]: row
         for row in layout.rows_at(slim, [end + 1 for end in ends.values()]).collect()
     }
-    label = F
-    for part, end in ends.items():
-        inside = _before(df, order, found.get(end + 1))
-        label = label.when(inside, F.lit(part))
-    return df.withColumn(name, label).where(F.col(name).isNotNull())
+    label = reduce(
+        lambda made, part: made.when(_before(df, order, found.get(ends[part] + 1)), F.lit(part)),
+        ends, F,
+    )
+    return Cut(df.withColumn("split", label).where(F.col("split").isNotNull()), layout, wanted)
+
+
+def cut_by_position(
+    df: DataFrame,
+    order: tuple[str, str],
+    sizes: Mapping[str, int] | None = None,
+    option: int = 2,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """The labelled table of ``cut_positions``."""
+    return cut_positions(df, order, sizes, option, rows_per_chunk).frame
 
 
 def _before(df: DataFrame, order: tuple[str, str], row) -> Column:
@@ -105,8 +136,9 @@ def count_stats(counts: DataFrame) -> DataFrame:
 
 def disjoint_split(
     counts: DataFrame,
-    targets: Mapping[str, int],
+    targets: Mapping[str, int] | None = None,
     limits: Mapping[str, int] | None = None,
+    fractions: Sequence[float] = GROUP_SPLIT_FRACTIONS,
     group: str = "building_id",
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
@@ -115,25 +147,30 @@ def disjoint_split(
     A part takes groups until it holds its target number of samples or its limit of groups.
     Both only grow, so a full part never reopens and the parts are consecutive runs of the
     size-ordered list: prefix sums of sizes say where each run ends. Equal sizes go by
-    descending id.
+    descending id. Without ``targets`` the parts are ``fractions`` of all samples.
     """
     limits = limits or {}
     # One row per group, read several times below; the readings themselves are read once.
     counts = checkpointed(counts.select(group, "n"))
+    if targets is None:
+        targets = group_split_sizes(counts.agg(F.sum("n")).first()[0] or 0, fractions)
     ordered = counts.select(
         group, "n", (-F.col("n")).alias("_size"), (-F.col(group)).alias("_id")
     )
     layout = Series((), ("_size", "_id"), rows_per_chunk).measure(ordered)
     ranked = layout.running(ordered, _upto=("sum", F.col("n")), _rank=("sum", F.lit(1)))
     ranked = checkpointed(ranked.select(group, "n", "_upto", "_rank"))
-    label, rank, samples = F, 0, 0
+    ends, rank, samples = {}, 0, 0
     for part in SPLITS:
         takes = (F.col("_rank") > rank) & (F.col("_upto") - F.col("n") - samples < targets[part])
         if limits.get(part) is not None:
             takes = takes & (F.col("_rank") - rank <= limits[part])
         last, upto = ranked.where(takes).agg(F.max("_rank"), F.max("_upto")).first()
         rank, samples = (last, upto) if last is not None else (rank, samples)
-        label = label.when(F.col("_rank") <= rank, F.lit(part))
+        ends[part] = rank
+    label = reduce(
+        lambda made, part: made.when(F.col("_rank") <= ends[part], F.lit(part)), ends, F
+    )
     return (
         ranked.withColumn("split", label).where(F.col("split").isNotNull())
         .select(group, "split", "n")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from meterflow.operators import windows
 from meterflow.operators.models import assembled, window_vector
-from meterflow.operators.series import Layout, Series
-from meterflow.plans.household import HouseholdData
+from meterflow.operators.series import Layout
 from meterflow.plans.preprocess import Prepared
 
 LAGS = ("lag1", "lag2", "lag3", "roll_mean", "roll_std")
@@ -25,19 +24,9 @@ def lag_frame(done: Prepared, layout: Layout, length: int = 7) -> DataFrame:
     return assembled(lagged, [*LAGS, *(f"last_{c}" for c in done.features)])
 
 
-def window_frame(data: HouseholdData) -> DataFrame:
+def window_frame(made: DataFrame) -> DataFrame:
     """Whole windows as flat vectors."""
-    flat = data.windows.withColumn("_flat", windows.flat())
+    flat = made.withColumn("_flat", windows.flat())
     return flat.select(
         "split", F.get("y", F.lit(0)).alias("y"), window_vector("_flat").alias("features")
     )
-
-
-def sequence_frame(parts: DataFrame, features: list[str], length: int, order: tuple[str, str],
-                   rows_per_chunk: int) -> DataFrame:
-    """Windows of any length over scaled parts, none crossing from one part into the next."""
-    layout = Series(["split"], order, rows_per_chunk).measure(parts)
-    found = windows.sliding_windows(parts, layout, features, length, order[0])
-    return found.withColumn("_flat", windows.flat()).select(
-        "split", F.get("y", F.lit(0)).alias("y"), window_vector("_flat").alias("features")
-    )

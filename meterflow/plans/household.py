@@ -2,33 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.constants import TRAIN_FRACTION
 from meterflow.functions.calendar import calendar_features
 from meterflow.operators import scaling, splits
-from meterflow.operators.series import ROWS_PER_CHUNK, Series
+from meterflow.operators.series import ROWS_PER_CHUNK
 from meterflow.operators.windows import sliding_windows
 
 CALENDAR = ("minute", "weekday", "hour")
 
 
 @dataclass(frozen=True)
-class HouseholdData:
-    windows: DataFrame
+class ScaledParts:
+    """Scaled features of a household, labelled by part."""
+
+    cut: splits.Cut
     features: Sequence[str]
     stats: scaling.ColumnStats
-    sizes: dict[str, int]
+    ts: str
 
-    def stats_for_target(self) -> scaling.ColumnStats:
+    def windows(self, length: int, features: Sequence[str] | None = None) -> DataFrame:
+        """Windows of every part; none crosses from one part into the next.
+
+        Parts are consecutive, so one pass over the whole series makes all windows, and
+        those that start before their part are dropped. ``position`` counts inside the part.
+        """
+        columns = list(features or self.features)
+        made = sliding_windows(self.cut.frame, self.cut.layout, columns, length, self.ts)
+        placed = made.withColumn("position", self.cut.place(F.col("position")))
+        return placed.where(F.col("position") > length)
+
+    def target_stats(self) -> scaling.ColumnStats:
         """Statistics of the target, which is the first feature, as ``y``."""
         return self.stats.renamed(self.features[0], "y")
 
 
+@dataclass(frozen=True)
+class HouseholdData:
+    windows: DataFrame
+    parts: ScaledParts
+
+    @property
+    def sizes(self) -> Mapping[str, int]:
+        return self.parts.cut.sizes
+
+
 def scaled_parts(
     df: DataFrame,
     option: int = 3,
@@ -36,19 +58,18 @@ def scaled_parts(
     order: tuple[str, str] = ("timestamp", "event_id"),
     fit_on_validation: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
-) -> tuple[DataFrame, list[str], scaling.ColumnStats, dict[str, int]]:
+) -> ScaledParts:
     """Measures and calendar columns, labelled by part and scaled from training rows.
 
     ``fit_on_validation`` also fits the scaler on the validation part.
     """
     features = [*measures, *CALENDAR]
-    total = df.count()
-    sizes = splits.split_sizes(total, option, TRAIN_FRACTION)
     frame = calendar_features(df, order[0]).select(*dict.fromkeys(order), *features)
-    parts = splits.cut_by_position(frame, order, sizes, rows_per_chunk=rows_per_chunk)
-    fitted = [p for p in sizes if p != "test" and (p != "val" or fit_on_validation)]
-    stats = scaling.ColumnStats.fit(splits.only_splits(parts, *fitted), features)
-    return stats.scale(parts), features, stats, sizes
+    cut = splits.cut_positions(frame, order, option=option, rows_per_chunk=rows_per_chunk)
+    fitted = [p for p in cut.sizes if p != "test" and (p != "val" or fit_on_validation)]
+    stats = scaling.ColumnStats.fit(splits.only_splits(cut.frame, *fitted), features)
+    scaled = splits.Cut(stats.scale(cut.frame), cut.layout, cut.sizes)
+    return ScaledParts(scaled, features, stats, order[0])
 
 
 def household_data(
@@ -61,19 +82,17 @@ def household_data(
     external: DataFrame | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> HouseholdData:
-    """Windows of every part; none crosses from one part into the next.
+    """Windows of the parts of one option.
 
-    Option 1 also places the forecast of ``external`` (columns ``index`` from 0, and
-    ``forecast``) of the same step beside each window. Option 0 windows the look-back rows.
+    Option 0 windows the look-back rows. Option 1 windows the rest and places the forecast
+    of ``external`` (columns ``index`` from 0, and ``forecast``) of the same step beside
+    each window.
     """
-    parts, features, stats, sizes = scaled_parts(
-        df, option, measures, order, fit_on_validation, rows_per_chunk
-    )
+    parts = scaled_parts(df, option, measures, order, fit_on_validation, rows_per_chunk)
+    sizes, windows = parts.cut.sizes, parts.windows(length)
     if option in (0, 1):
         wanted = ("lookback",) if option == 0 else ("train", "test")
-        parts = splits.only_splits(parts, *wanted)
-    layout = Series(["split"], order, rows_per_chunk).measure(parts)
-    windows = sliding_windows(parts, layout, features, length, order[0])
+        windows = splits.only_splits(windows, *wanted)
     if option == 1:
         if external is None or sizes["train"] <= 0:
             raise ValueError("option 1 needs training rows and an external forecast")
@@ -84,4 +103,4 @@ def household_data(
             windows.withColumn("_index", place)
             .join(external.withColumnRenamed("index", "_index"), "_index").drop("_index")
         )
-    return HouseholdData(windows, features, stats, sizes)
+    return HouseholdData(windows, parts)

@@ -38,11 +38,8 @@ def assign_splits(
     limits: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Disjoint building splits; by default the sample targets cover all readings."""
-    counts = splits.checkpointed(splits.group_counts(readings))
-    if target_samples is None:
-        target_samples = counts.agg(F.sum("n")).first()[0] or 0
-    targets = splits.group_split_sizes(target_samples, fractions)
-    return splits.disjoint_split(counts, targets, limits)
+    targets = target_samples and splits.group_split_sizes(target_samples, fractions)
+    return splits.disjoint_split(splits.group_counts(readings), targets or None, limits, fractions)
 
 
 def prepare(

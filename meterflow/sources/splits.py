@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,14 +50,14 @@ def read_splits(spark: SparkSession, path: str, group: str = "building_id") -> D
     return explode_splits(spark.read.text(path, wholetext=path.endswith(".json")), group)
 
 
-def saved_or_new(spark: SparkSession, path: str, build) -> DataFrame:
+def saved_or_new(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], group: str = "building_id"
+) -> DataFrame:
     """Load a saved split, or build, save and load it where none can be read."""
     try:
-        saved = read_splits(spark, path)
-        if saved.limit(1).count():
-            return saved
-    except Exception as problem:  # a missing or unreadable file is regenerated
-        if "PATH_NOT_FOUND" not in str(problem) and "from_json" not in str(problem):
-            raise
-    write_splits(build(), path)
-    return read_splits(spark, path)
+        saved = read_splits(spark, path, group)
+    except AnalysisException:
+        saved = None
+    if saved is None or saved.isEmpty():
+        write_splits(build(), path, group)
+    return read_splits(spark, path, group)

@@ -58,7 +58,7 @@ def test_forecast_on_household_windows(spark):
         "10 + 5 * sin(id / 8.0D) AS P")
     data = household.household_data(df, 3, 5, ("P",), rows_per_chunk=50)
     scored = models.fit_and_score(
-        models.linear(), forecast.window_frame(data), data.stats_for_target(), "windows")
+        models.linear(), forecast.window_frame(data.windows), data.parts.target_stats(), "windows")
     assert scored.metrics.first().R2 > 0.99
 
 
