@@ -91,7 +91,8 @@ def trial_eval(v: Views):
 
 @query()
 def population_search(v: Views):
-    trials = search.search(v.spark, _objective(v).evaluate, population=2, generations=1)
+    trials = search.search(
+        v.spark, _objective(v).evaluate, population=2, generations=1, parallelism=2)
     return trials.select(
         "algorithm", "eval_num", "units", "num_layers", "seq", r6("VAL_RMSE_orig"))
 
@@ -100,7 +101,7 @@ def population_search(v: Views):
 def refit_best(v: Views):
     objective = _objective(v)
     trials = search.search(
-        v.spark, objective.evaluate, (search.PLAIN,), population=2, generations=0)
+        v.spark, objective.evaluate, (search.PLAIN,), population=2, generations=0, parallelism=2)
     best = reports.best_trial(trials).first()
     params = search.Params(best.units, best.num_layers, best.seq, best.learning_rate)
     return _shown(objective.refit(params, best.algorithm).metrics)

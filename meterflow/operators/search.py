@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,18 +69,23 @@ class Objective:
 
     def evaluate(self, params: Params) -> dict:
         """One trial row; a candidate whose windows leave nothing to fit scores badly."""
+        failed = {"VAL_RMSE_orig": FAILED_TRIAL_FITNESS, **vars(params)}
         rows = self.windowing(params.seq).withColumn("_held_out", F.col("split") == "val").persist()
         try:
-            if not {"train", "val"} <= {r[0] for r in rows.select("split").distinct().collect()}:
-                return {"VAL_RMSE_orig": FAILED_TRIAL_FITNESS, **vars(params)}
             model = self.estimator(params).fit(rows.where(F.col("split").isin("train", "val")))
             scored = score(model, rows.where(F.col("split") == "val"), self.stats, clamp=False)
             both = scored.agg(
                 F.struct(*metric_columns("y", "prediction")).alias("scaled"),
                 F.struct(*metric_columns()).alias("orig"),
             ).first()
+        except Exception:
+            if rows.where("split = 'train'").isEmpty():
+                return failed
+            raise
         finally:
             rows.unpersist()
+        if not both["orig"]["n"]:
+            return failed
         found = {f"VAL_{m}_scaled": both["scaled"][m] for m in LOGGED}
         found |= {f"VAL_{m}_orig": both["orig"][m] for m in LOGGED if m != "MSE"}
         return {**vars(params), **found, "epochs_trained": model.getNumTrees}
@@ -160,8 +167,14 @@ def search(
     generations: int = 12,
     seed: int = 42,
     log: Callable[[DataFrame], None] | None = None,
+    parallelism: int = 1,
 ) -> DataFrame:
-    """Trials of every algorithm, in order; ``log`` receives each generation as it ends."""
+    """Trials of every algorithm, in order; ``log`` receives each generation as it ends.
+
+    Candidates of a generation do not depend on each other: ``parallelism`` of them are
+    fitted at a time, as jobs of one session.
+    """
+    evaluate = inheritable_thread_target(spark)(evaluate)
     rows: list[dict] = []
     for algorithm in algorithms:
         rng, name, done = np.random.default_rng(seed), algorithm.name, 0
@@ -170,12 +183,15 @@ def search(
             if generation:
                 algorithm = algorithm.next_generation()
                 points = algorithm.move(rng, points, fitness)
-            batch = []
-            for point in points:
-                done += 1
-                stamp = datetime.now(timezone.utc).replace(tzinfo=None)
-                trial = evaluate(Params.decode(point.tolist()))
-                batch.append({**trial, "algorithm": name, "eval_num": done, "timestamp": stamp})
+            candidates = [Params.decode(point) for point in points.tolist()]
+            with ThreadPoolExecutor(parallelism) as pool:
+                found = list(pool.map(evaluate, candidates))
+            stamp = datetime.now(timezone.utc).replace(tzinfo=None)
+            batch = [
+                {**trial, "algorithm": name, "eval_num": done + i, "timestamp": stamp}
+                for i, trial in enumerate(found, 1)
+            ]
+            done += len(batch)
             fitness = np.array([trial["VAL_RMSE_orig"] for trial in batch])
             rows += batch
             if log:

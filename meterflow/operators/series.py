@@ -19,7 +19,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import groupby
+from itertools import accumulate, groupby
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -112,6 +112,11 @@ class Run:
     end: int
     bins: tuple[tuple[int, int], ...]
 
+    def spans(self) -> list[tuple[int, int, int]]:
+        """Bins with the number of rows before them in the series and inside them."""
+        starts = accumulate((n for _, n in self.bins), initial=self.start)
+        return [(bin_id, start, n) for (bin_id, n), start in zip(self.bins, starts)]
+
     def edge(self, rows: int, last: bool) -> list[int]:
         """Bins that hold the last (or first) ``rows`` rows."""
         found, covered = [], 0
@@ -343,18 +348,22 @@ class Layout:
     def rows_at(self, df: DataFrame, positions: Sequence[int]) -> DataFrame:
         """The rows at the given 1-based positions of a table that is one single series.
 
-        Of a cut series only the runs that hold a wanted position are sorted.
+        Of a cut series only the bins that hold a wanted position are sorted.
         """
         if self.series.keys:
             raise ValueError("rows_at needs a series without keys")
         wanted = [int(p) for p in positions]
         if not self.is_cut:
             return self.positions(df).where(F.col("_pos").isin(wanted))
-        near = [r.id for r in self.runs if any(r.start < p <= r.end for p in wanted)]
+        near = [
+            (bin_id, start) for run in self.runs for bin_id, start, n in run.spans()
+            if any(start < p <= start + n for p in wanted)
+        ]
+        starts = small_table(df.sparkSession, near, _longs("_bin", "_start"))
         return (
-            self.placed(df).where(F.col("_run").isin(near))
-            .withColumn("_pos", self._position(self._window("_run")))
-            .where(F.col("_pos").isin(wanted)).drop("_bin", "_run", "_start")
+            self._binned(df).drop("_axis", "_tie").join(F.broadcast(starts), "_bin")
+            .withColumn("_pos", self._position(self._window("_bin")))
+            .where(F.col("_pos").isin(wanted)).drop("_bin", "_start")
         )
 
 
