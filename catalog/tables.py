@@ -233,7 +233,7 @@ FROM pairs JOIN embeddings a ON a.vec_id = left_id JOIN embeddings b ON b.vec_id
 def vector_distance_pairs(v: Views):
     vectors = v.table("embeddings")
     ids = vectors.select(F.col("vec_id").alias("left_id"), "label")
-    layout = Series(["label"], ("left_id", "left_id")).measure(ids)
+    layout = Series(["label"], ("left_id", "left_id")).measure(ids, few=True)
     pairs = layout.over(
         ids, lambda w, pos: {"right_id": F.lead("left_id").over(w)}, following=1
     ).where("right_id IS NOT NULL").drop("label")

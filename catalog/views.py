@@ -101,11 +101,11 @@ class Views:
                 F.col("o_orderkey") % 83 / 82, F.col("o_custkey") % 79 / 78,
             ).alias("x"),
         )
-        numbered = Series(["algorithm"], ("trial_id", "trial_id")).measure(orders)
+        numbered = Series(["algorithm"], ("trial_id", "trial_id")).measure(orders, few=True)
         return numbered.positions(orders, "eval_num")
 
     def trials_layout(self, trials: DataFrame) -> Layout:
-        return Series(["algorithm"], ("eval_num", "eval_num")).measure(trials)
+        return Series(["algorithm"], ("eval_num", "eval_num")).measure(trials, few=True)
 
     def metrics_runs(self) -> DataFrame:
         undated = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")

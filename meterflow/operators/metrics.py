@@ -74,10 +74,13 @@ def quantiles(
     by a sort that splits large groups, and only the ranks next to each quantile are kept.
     """
     slim = df.select(by, value, tie)
-    layout = Series((by,), (value, tie), rows_per_chunk).measure(slim)
-    sizes = broadcast_if_small(slim.groupBy(by).agg(F.count(F.lit(1)).alias("_n")))
+    layout = Series((by,), (value, tie), rows_per_chunk).measure(slim, few=True)
+    if layout.sizes is not None:
+        sizes = F.broadcast(layout.sizes)
+    else:
+        sizes = slim.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     ranked = layout.positions(slim).join(sizes, by)
-    place = {p: (F.col("_n") - 1) * F.lit(float(p)) + 1 for p in probabilities}
+    place = {p: (F.col("n") - 1) * F.lit(float(p)) + 1 for p in probabilities}
     wanted = F.lit(False)
     for at in place.values():
         wanted = wanted | F.col("_pos").isin(F.floor(at), F.ceil(at))

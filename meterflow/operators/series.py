@@ -31,6 +31,7 @@ from meterflow.session import small_table
 ROWS_PER_CHUNK = 2_000_000
 # Bounds every list the driver holds and every table broadcast here, whatever the input size.
 MAX_CHUNKS = 20_000
+MAX_FETCHED = 10_000
 BINS_PER_CHUNK = 4
 MAX_BINS = 4096
 
@@ -45,19 +46,33 @@ class Series:
     order: tuple[str, str]
     rows_per_chunk: int = ROWS_PER_CHUNK
 
-    def measure(self, df: DataFrame) -> "Layout":
-        """Count the series of ``df`` and cut those too long for one task."""
+    def measure(self, df: DataFrame, few: bool = False) -> "Layout":
+        """Count the series of ``df`` and cut those too long for one task.
+
+        ``few`` says that the series are few by nature, such as models: their counts are then
+        fetched at once and kept as ``sizes``. More than ``MAX_FETCHED`` are counted as usual.
+        """
         counts = self.with_axes(df).groupBy(*self.keys).agg(*_extent())
-        if self.keys:
+        fetched = None
+        if few or not self.keys:
+            fetched = counts.limit(MAX_FETCHED + 1).collect()
+            if len(fetched) > MAX_FETCHED:
+                fetched = None
+        if fetched is None:
             total, longest = counts.agg(F.sum("n"), F.max("n")).first()
         else:
-            whole = counts.first()
-            total = longest = whole.n
+            total = sum(row.n for row in fetched)
+            longest = max((row.n for row in fetched), default=0)
         chunk = max(self.rows_per_chunk, (total or 0) // MAX_CHUNKS)
         layout = Layout(self, total or 0, chunk)
+        if fetched is not None:
+            fields = [df.schema[k] for k in self.keys] + _longs("n").fields
+            rows = [(*[row[k] for k in self.keys], row.n) for row in fetched]
+            layout.sizes = small_table(df.sparkSession, rows, T.StructType(fields))
         if (longest or 0) > chunk:
             # No more than total / chunk series can be longer than a chunk.
-            layout.cut(df, counts.where(F.col("n") > chunk).collect() if self.keys else [whole])
+            found = counts.where(F.col("n") > chunk).collect() if fetched is None else fetched
+            layout.cut(df, [row for row in found if row.n > chunk])
         return layout
 
     def with_axes(self, df: DataFrame) -> DataFrame:
@@ -138,6 +153,7 @@ class Layout:
     levels: list[DataFrame | tuple] = field(default_factory=list)
     runs: list[Run] = field(default_factory=list)
     bins: DataFrame | None = None
+    sizes: DataFrame | None = None
 
     @property
     def is_cut(self) -> bool:
