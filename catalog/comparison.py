@@ -9,6 +9,7 @@ from catalog.registry import long, query, r6
 from catalog.views import Views
 from meterflow.functions.scalars import decode_params as decoded
 from meterflow.operators import metrics, reports
+from meterflow.operators.series import Series
 
 
 @query(f"""WITH {o.PREDICTIONS}
@@ -62,7 +63,8 @@ def scatter_bins(v: Views):
 @query(f"""WITH {o.PREDICTIONS} SELECT model, row_id, y_true, y_pred FROM predictions
 QUALIFY row_number() OVER (PARTITION BY model ORDER BY row_id) <= 2000""")
 def series_snippet(v: Views):
-    return reports.top_per_group(v.predictions(), ["model"], [F.col("row_id")], "row_id", 2000)
+    rows = v.predictions()
+    return Series(["model"], ("row_id", "row_id")).measure(rows, few=True).first(rows, 2000)
 
 
 @query(f"""WITH {o.LAGGED} SELECT meter, ROUND(regr_slope(meter_reading, lag1), 6) AS slope,
@@ -130,7 +132,7 @@ def convergence_filled(v: Views):
     trials = v.trials()
     layout = v.trials_layout(trials)
     events = reports.improvements(reports.convergence(trials, layout), layout)
-    return reports.step_fill(events.select("algorithm", "eval_num", "best_so_far"), layout)
+    return reports.step_fill(events.select("algorithm", "eval_num", "best_so_far"), layout.series)
 
 
 @query(f"""WITH {o.LATEST} SELECT Model, RMSE, MAE, o_orderkey FROM latest""")

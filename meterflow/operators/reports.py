@@ -6,45 +6,24 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterflow.constants import MINUTES_PER_TRIAL
-from meterflow.operators.series import Layout
-
-SALTS = 64
-
+from meterflow.operators.series import Layout, Series
 
 def latest_per_group(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
-    """The newest row of each group; a row without a timestamp counts as newest.
+    """The newest row of each group; a row without a timestamp counts as newest, and the
+    largest ``tie`` decides where there are no timestamps.
 
     An aggregate, not a sort: every task keeps one row per group before the shuffle.
     """
-    age = F.struct(F.col(ts).isNull().alias("undated"), F.col(ts).alias("at"), F.col(tie).alias("tie"))
+    at = F.col(ts) if ts in df.columns else F.lit(None)
+    age = F.struct(at.isNull().alias("undated"), at.alias("at"), F.col(tie).alias("tie"))
     rest = [c for c in df.columns if c not in keys]
     newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), age).alias("_row"))
     return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: str, n: int
-) -> DataFrame:
-    """The first ``n`` rows of each group in ``order`` (which must be unique).
-
-    Groups are ranked in ``SALTS`` slices first, so the last step sees at most
-    ``SALTS * n`` rows of a group however large it is.
-    """
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
-    slices = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    groups = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_salt", salt)
-        .withColumn("_rank", F.row_number().over(slices)).where(F.col("_rank") <= n)
-        .withColumn("_rank", F.row_number().over(groups)).where(F.col("_rank") <= n)
-        .drop("_salt", "_rank")
-    )
-
-
 def largest(df: DataFrame, by: str, tie: str, k: int) -> DataFrame:
     """The ``k`` rows with the largest value; ties go to the smaller id."""
     return df.orderBy(F.col(by).desc_nulls_last(), F.col(tie)).limit(k)
@@ -53,8 +32,8 @@ def largest(df: DataFrame, by: str, tie: str, k: int) -> DataFrame:
 def diverse(df: DataFrame, category: str, key: str, k: int) -> DataFrame:
     """About ``k`` rows spread evenly over categories, at least one of each, cut at ``k``."""
     firsts = df.groupBy(category).agg(F.min(key).alias("_first"))
-    each = max(1, k // max(1, firsts.count()))
-    picked = top_per_group(df, [category], [F.col(key)], key, each)
+    layout = Series([category], (key, key)).measure(df, few=True)
+    picked = layout.first(df, max(1, k // max(1, firsts.count())))
     return picked.join(firsts, category).orderBy("_first", key).limit(k).drop("_first")
 
 
@@ -147,13 +126,13 @@ def improvements(curve: DataFrame, layout: Layout) -> DataFrame:
     return layout.over(curve, build, preceding=1).where(fell).drop("_before")
 
 
-def step_fill(events: DataFrame, layout: Layout, at: str = "eval_num") -> DataFrame:
+def step_fill(events: DataFrame, series: Series) -> DataFrame:
     """One row per evaluation from improvement events: each holds until the next one."""
-    def build(w, pos):
-        return {"_next": F.lead(at).over(w)}
-
+    at = series.order[0]
     until = F.coalesce(F.col("_next") - 1, F.col(at))
-    filled = layout.over(events, build, following=1)
+    filled = series.measure(events, few=True).over(
+        events, lambda w, pos: {"_next": F.lead(at).over(w)}, following=1
+    )
     return filled.withColumn(at, F.explode(F.sequence(F.col(at), until))).drop("_next")
 
 

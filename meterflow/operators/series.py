@@ -52,17 +52,20 @@ class Series:
         ``few`` says that the series are few by nature, such as models: their counts are then
         fetched at once and kept as ``sizes``. More than ``MAX_FETCHED`` are counted as usual.
         """
-        counts = self.with_axes(df).groupBy(*self.keys).agg(*_extent())
+        undated = F.count_if(F.col("_axis").isNull() | F.col("_tie").isNull())
+        counts = self.with_axes(df).groupBy(*self.keys).agg(*_extent(), undated.alias("nulls"))
         fetched = None
         if few or not self.keys:
             fetched = counts.limit(MAX_FETCHED + 1).collect()
             if len(fetched) > MAX_FETCHED:
                 fetched = None
         if fetched is None:
-            total, longest = counts.agg(F.sum("n"), F.max("n")).first()
+            total, longest, nulls = counts.agg(F.sum("n"), F.max("n"), F.sum("nulls")).first()
         else:
-            total = sum(row.n for row in fetched)
+            total, nulls = (sum(row[c] for row in fetched) for c in ("n", "nulls"))
             longest = max((row.n for row in fetched), default=0)
+        if nulls:
+            raise ValueError(f"order columns {self.order} hold {nulls} nulls")
         chunk = max(self.rows_per_chunk, (total or 0) // MAX_CHUNKS)
         layout = Layout(self, total or 0, chunk)
         if fetched is not None:
@@ -145,7 +148,11 @@ class Run:
 
 @dataclass
 class Layout:
-    """How the series of one table are spread over tasks."""
+    """How the series of one table are spread over tasks.
+
+    It serves every table that holds the same rows of each series, with whatever columns;
+    whole series may be absent.
+    """
 
     series: Series
     total: int
@@ -267,6 +274,24 @@ class Layout:
         before = F.greatest(F.col("_start") - reach, F.lit(0))
         return F.row_number().over(window).cast("long") + F.coalesce(before, F.lit(0))
 
+    def first(self, df: DataFrame, n: int) -> DataFrame:
+        """The first ``n`` rows of each series; of a cut series only the bins that hold them
+        are shuffled."""
+        if not self.is_cut:
+            rank = F.row_number().over(self._window())
+            return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+        near = [
+            (bin_id, start) for run in self.runs
+            for bin_id, start, _ in run.spans() if start < n
+        ]
+        starts = small_table(df.sparkSession, near, _longs("_bin", "_start"))
+        return (
+            self._binned(df).drop("_axis", "_tie").join(F.broadcast(starts), "_bin", "left")
+            .where(F.col("_bin").isNull() | F.col("_start").isNotNull())
+            .withColumn("_pos", self._position(self._window("_bin")))
+            .where(F.col("_pos") <= n).drop("_bin", "_start", "_pos")
+        )
+
     def over(
         self, df: DataFrame, build: Build, preceding: int = 0, following: int = 0
     ) -> DataFrame:

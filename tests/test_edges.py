@@ -244,13 +244,45 @@ def test_repeated_weather_keys_are_refused(spark):
         joins.require_unique(df, ["site_id", "timestamp"])
 
 
-def test_top_per_group_is_exact(spark):
-    df = spark.range(500).selectExpr("IF(id % 3 = 0, 0, id % 7) AS k", "id", "(id * 13) % 500 AS v")
-    out = reports.top_per_group(df, ["k"], [F.col("v").desc(), F.col("id")], "id", 5).collect()
+@pytest.mark.parametrize("chunk", [8, 10_000])
+def test_convergence_and_its_steps(spark, chunk):
+    df = spark.range(1, 121).selectExpr(
+        "IF(id % 4 = 0, 'b', 'a') AS algorithm", "id AS eval_num",
+        "1000.0D / sqrt(id) + (id * 37 % 11) * 20 AS VAL_RMSE_orig")
+    series = Series(["algorithm"], ("eval_num", "eval_num"), chunk)
+    layout = series.measure(df)
+    curve = reports.convergence(df, layout)
+    best, steps = {}, {}
+    for r in sorted(df.collect(), key=lambda r: r.eval_num):
+        best[r.algorithm] = min(best.get(r.algorithm, math.inf), r.VAL_RMSE_orig)
+        seen = steps.setdefault(r.algorithm, [])
+        if not seen or best[r.algorithm] < seen[-1][1]:
+            seen.append((r.eval_num, best[r.algorithm]))
+    events = reports.improvements(curve, layout)
+    found = sorted((r.algorithm, r.eval_num, r.best_so_far) for r in events.collect())
+    assert found == sorted((a, *step) for a, seen in steps.items() for step in seen)
+    filled = reports.step_fill(events.select("algorithm", "eval_num", "best_so_far"), series)
+    expected = []
+    for a, seen in steps.items():
+        for (start, value), (stop, _) in zip(seen, [*seen[1:], (seen[-1][0] + 1, 0)]):
+            expected += [(a, i, value) for i in range(start, stop)]
+    assert sorted((r.algorithm, r.eval_num, r.best_so_far) for r in filled.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("chunk", [10, 10_000])
+def test_first_rows_of_groups(spark, chunk):
+    df = spark.range(500).selectExpr("IF(id % 3 = 0, 0, id % 7) AS k", "id", "(id * 13) % 250 AS v")
+    out = Series(["k"], ("v", "id"), chunk).measure(df, few=True).first(df, 35).collect()
     expected = {}
-    for r in sorted(df.collect(), key=lambda r: (-r.v, r.id)):
+    for r in sorted(df.collect(), key=lambda r: (r.v, r.id)):
         expected.setdefault(r.k, []).append(r.id)
-    assert sorted(r.id for r in out) == sorted(i for ids in expected.values() for i in ids[:5])
+    assert sorted(r.id for r in out) == sorted(i for ids in expected.values() for i in ids[:35])
+
+
+def test_order_without_nulls_is_required(spark):
+    df = spark.range(5).selectExpr("id", "nullif(id, 3) AS t")
+    with pytest.raises(ValueError, match="1 nulls"):
+        Series((), ("t", "id")).measure(df)
 
 
 def test_external_forecast_is_placed_by_position(spark):
