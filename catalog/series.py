@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from catalog import oracle as o
 from catalog.registry import long, query, r6, text
 from catalog.views import READING_ORDER, SMALL_CHUNK, Views
-from meterflow.functions.calendar import calendar_features
-from meterflow.operators import scaling, splits, windows
-from meterflow.operators.series import Series
+from meterflow.operators import joins, scaling, splits, windows
 from meterflow.plans import household, preprocess
 
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -182,8 +180,6 @@ located AS (
 
 
 def _located(v: Views):
-    from meterflow.operators import joins
-
     located = joins.join_buildings(v.readings(), v.buildings())
     return joins.join_weather(located, v.weather(), hourly=True).select(
         "event_id", "meter", "meter_reading", "square_feet", "air_temperature")

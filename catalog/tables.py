@@ -13,6 +13,8 @@ from meterflow.functions.calendar import calendar_features, holiday_flag, parse_
 from meterflow.operators import joins, metrics, reports, resample, scaling, splits
 from meterflow.operators.series import Series
 from meterflow.plans.baseline import naive_forecast_report
+from meterflow.sources.results import latest_predictions, upserted
+from meterflow.sources.splits import explode_splits, split_documents
 
 MEASURES = ("P", "Q", "V")
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -64,8 +66,6 @@ def concat_sorted(v: Views):
 @query("""SELECT c_custkey AS building_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'val'
   WHEN 'MACHINERY' THEN 'test' ELSE 'train' END AS split FROM customer""")
 def split_from_json(v: Views):
-    from meterflow.sources.splits import explode_splits, split_documents
-
     segment = F.col("c_mktsegment")
     ids = v.table("customer").select(
         F.col("c_custkey").alias("building_id"),
@@ -93,8 +93,6 @@ SELECT o_orderpriority AS algorithm, o_orderkey AS row_id, o_totalprice AS y_tru
   GREATEST(o_totalprice - 250000, 0) AS y_pred
 FROM orders JOIN latest ON o_orderpriority = p AND date_trunc('month', o_orderdate) = run""")
 def predictions_latest(v: Views):
-    from meterflow.sources.results import latest_predictions
-
     wrapped = F.col("o_orderstatus") == "F"
     truth, guess = F.col("o_totalprice"), F.col("o_totalprice") - 250000
     artifacts = v.table("orders").select(
@@ -113,8 +111,6 @@ FROM customer FULL JOIN (
   SELECT o_custkey, MAX(o_totalprice) AS best FROM orders
   WHERE o_orderstatus = 'F' GROUP BY 1) ON c_custkey = o_custkey""")
 def info_upsert(v: Views):
-    from meterflow.sources.results import upserted
-
     old = v.table("customer").selectExpr("c_custkey AS key", "c_acctbal AS value")
     new = (
         v.table("orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("key"))
