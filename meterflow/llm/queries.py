@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm import toxicity, urltree
+from meterflow.llm import decontam, licenses, quality, sentencepiece_fst, toxicity, urltree, warc
 from meterflow.llm.common import table
 
 QUERIES = {}
@@ -17,6 +17,42 @@ def query(build):
     return build
 
 
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document by both views and their combination."""
+    documents = table(spark, folder, "documents")
+    model = quality.learn(documents, table(spark, folder, "labels"))
+    scored = quality.score(documents.select("doc_id", "text", "lang", "source", "n_chars"), model)
+    return scored.select("doc_id", "quality", "content_score", "metadata_score",
+                         F.when(F.col("quality") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that each document contains."""
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = decontam.contamination(documents, table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+#: A public BPE model with byte fallback; any other path may be given to the operator.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, and whether decoding them gives the text back."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return sentencepiece_fst.encode(documents, MODEL_PATH).drop("text")
+
+
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return warc.build_derivatives(warc.responses(pages), keep=("page_id",))
+
+
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document; rows with crc32 of the id divisible by 5 teach nothing."""
@@ -47,3 +83,11 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
         F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0.0)
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), bad.alias("bad"))
     return urltree.judge_urls(table(spark, folder, "pages"), labels, URL_RULES)
+
+
+@query
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License of every document; its source and language stand for its directories."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    files = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("id", "doc_id")
