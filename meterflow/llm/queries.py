@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm import decontam, licenses, quality, sentencepiece_fst, toxicity, urltree, warc
+from meterflow.llm import decontam, licenses, neardup, quality, sentencepiece_fst, toxicity, urltree, warc
 from meterflow.llm.common import table
 
 QUERIES = {}
@@ -17,6 +17,14 @@ def query(build):
     return build
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are similar at 0.8 or more."""
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = neardup.near_duplicates(documents, width=2)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 @query
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of every document by both views and their combination."""
