@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm import decontam, licenses, neardup, quality, sentencepiece_fst, toxicity, urltree, warc
+from meterflow.llm import (
+    ann, decontam, licenses, neardup, quality, sentencepiece_fst, toxicity, urltree, warc,
+)
 from meterflow.llm.common import table
 
 QUERIES = {}
@@ -17,6 +19,13 @@ def query(build):
     return build
 
 
+@query
+def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return ann.search(ann.build_index(vectors), vectors.where(F.col("id") % 100 == 0))
+
+
 @query
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles are similar at 0.8 or more."""
