@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterflow.llm import (
-    ann, decontam, licenses, neardup, quality, sentencepiece_fst, toxicity, urltree, warc,
+    ann, decontam, licenses, neardup, quality, sentencepiece_fst, suffixes, toxicity, urltree,
+    warc,
 )
 from meterflow.llm.common import table
 
@@ -70,6 +71,15 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.build_derivatives(warc.responses(pages), keep=("page_id",))
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that stand elsewhere too."""
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = suffixes.remove_repeats(documents)
+    return found.select(F.col("id").alias("doc_id"), *(
+        F.col(f"cut.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+
+
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document; rows with crc32 of the id divisible by 5 teach nothing."""
