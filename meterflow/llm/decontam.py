@@ -121,10 +121,12 @@ class Items:
 
 def contamination(
     documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 4, block_rows: int = 20_000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Id, items, covered share and flag of every document.
 
-    ``documents`` has id and text, ``benchmark`` item_id and text. Gives id, contaminated,
+    ``documents`` has id and text, ``benchmark`` item_id and text; columns of ``documents``
+    named in ``keep`` stay. Gives id, contaminated,
     coverage (the greatest share of an item's words that tiles cover, whatever the item) and
     items (ids of all items covered ``threshold`` or more, ascending). The benchmark is a
     stated query set: it is taken in blocks of at most ``block_rows`` items, and each block is
@@ -139,7 +141,7 @@ def contamination(
     else:
         split = [items]
     # one column of found items per block, so that a document stays one row
-    found = documents.select(F.col("id").alias("id"), F.col("text").alias("text"))
+    found = documents.select("id", "text", *keep)
     parts = []
     for number, block in enumerate(split):
         rows = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=str)
@@ -151,7 +153,7 @@ def contamination(
     hit = F.lit(False)
     for p in parts:
         hit = hit | p["hit"]
-    return found.select("id", hit.alias("contaminated"), covered.alias("coverage"), listed.alias("items"))
+    return found.select("id", *keep, hit.alias("contaminated"), covered.alias("coverage"), listed.alias("items"))
 
 
 def _matched(shared, threshold: float):

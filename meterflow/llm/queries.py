@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from meterflow.llm import (
     ann, decontam, licenses, neardup, quality, sentencepiece_fst, suffixes, toxicity, urltree,
     warc,
 )
 from meterflow.llm.common import table
 
-QUERIES = {}
-SQL = {}
+QUERIES = {"pipeline": corpus_pipeline.run}
+SQL = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
 
 
 def query(build):

@@ -445,23 +445,25 @@ def repeated_spans(documents: DataFrame, length: int = 200, hot: int = 100_000,
     return texts.select("text_key", "text"), spans
 
 
-def remove_repeats(documents: DataFrame, length: int = 200, **how) -> DataFrame:
-    """``documents`` (id, text and more) with kept_text, n_bytes, n_removed, n_spans, kept_sha256 in ``cut``.
+def remove_repeats(documents: DataFrame, length: int = 200, id_column: str = "id", cut_column: str = "cut", **how) -> DataFrame:
+    """``documents`` (id, text and more) with a struct ``cut`` beside their columns.
 
-    The other columns stay as they are. Bytes covered by a string of ``length`` bytes that also
-    starts elsewhere are removed; where that cuts a character, what is left of it stays in the
-    digest and becomes U+FFFD in kept_text.
+    It holds kept_text, n_bytes, n_removed, n_spans and kept_sha256. Bytes covered by a string
+    of ``length`` bytes that also starts elsewhere are removed. Where that cuts a character,
+    what is left of it counts in the digest but is dropped from kept_text.
     """
-    keyed = documents.withColumn("__key", F.xxhash64("id", "text"))
-    pairs = keyed.select(F.col("__key").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.xxhash64(id_column, "text")
+    pairs = documents.select(key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     texts, spans = repeated_spans(pairs, length, **how)
     spans = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    cut = stored(texts.distinct().join(spans, "text_key").select("text_key", cut_out("text", "spans").alias("cut")))
-    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    whole = F.struct(F.coalesce("text", F.lit("")).alias("kept_text"), n_bytes.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-                     F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    cut = texts.distinct().join(spans, "text_key").select("text_key", cut_out("text", "spans").alias("__cut"))
+    text = F.coalesce("text", F.lit(""))
+    whole = F.struct(text.alias("kept_text"), F.octet_length(text).cast("long").alias("n_bytes"),
+                     F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+                     F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+    keyed = documents.select("*", key.alias("__key"))
     joined = keyed.join(cut, keyed["__key"] == cut["text_key"], "left")
-    return joined.select(*documents.columns, F.coalesce(cut["cut"], whole).alias("cut"))
+    return joined.select(*(documents[c] for c in documents.columns if c != cut_column), F.coalesce("__cut", whole).alias(cut_column))
 
 
 CUT = T.StructType([
@@ -483,5 +485,5 @@ def cut_out(texts, spans):
         gone = np.cumsum(gone[:-1]) > 0
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         edges = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        rows.append((kept.decode("utf-8", "replace"), len(data), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest()))
+        rows.append((kept.decode("utf-8", "ignore"), len(data), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest()))
     return pd.DataFrame(rows, columns=CUT.names)
