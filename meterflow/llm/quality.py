@@ -83,7 +83,8 @@ class View:
     line: tuple[float, float] = (1.0, 0.0)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        raw = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
+        # summed row by row: a matrix product may round equal rows of two batches differently
+        raw = (np.clip((x - self.mean) / self.scale, -8, 8) * self.weights[:-1]).sum(1) + self.weights[-1]
         return self.line[0] * raw + self.line[1]
 
 
@@ -128,7 +129,7 @@ class Model:
 
     def scores(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, ...]:
         a, b = self.content.logits(content), self.metadata.logits(metadata)
-        return sigmoid(np.column_stack([a, b]) @ self.weights[:2] + self.weights[2]), sigmoid(a), sigmoid(b)
+        return sigmoid(a * self.weights[0] + b * self.weights[1] + self.weights[2]), sigmoid(a), sigmoid(b)
 
 
 def cotrain(

@@ -134,7 +134,7 @@ def _inputs(found: np.ndarray) -> np.ndarray:
 
 
 def _curve(found: np.ndarray, curve: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(_inputs(found) @ curve, -30, 30)))
+    return 1.0 / (1.0 + np.exp(-np.clip((_inputs(found) * curve).sum(1), -30, 30)))
 
 
 def fit_curve(found: np.ndarray, toxic: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple:

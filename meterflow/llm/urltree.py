@@ -93,8 +93,8 @@ def template_tree(
     ``bad`` is 1.0 for a labelled url to reject, 0.0 for one to keep, null without a label.
     A segment stays literal if its node holds it ``min_count`` times and in ``min_share`` of
     its rows, else it becomes a wildcard. Templates that differ in their last literal only are
-    merged unless a branch's share of rejects lies over ``z`` standard errors from that of all
-    of them. ``purity`` is the share of rejects of the merged branch, smoothed by ``strength``
+    merged unless a branch's number of rejects lies more than ``z`` standard errors and one row
+    from what the middle share of all of them lets expect. ``purity`` is the share of rejects of the merged branch, smoothed by ``strength``
     rows at the host's share, itself smoothed towards that of all hosts.
     """
     shapes = stored(urls.groupBy("host", "shape").agg(
@@ -120,9 +120,11 @@ def template_tree(
     templates = templates.withColumn("general", general)
     single = templates.groupBy("host", "general", "tokens").agg(
         F.sum("labelled").alias("n"), F.sum("rejects").alias("b"))
-    pooled = single.groupBy("host", "general").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
-    share = F.col("pb") / F.greatest("pn", F.lit(1))
-    similar = F.abs(F.col("b") - F.col("n") * share) <= z * F.sqrt(F.col("n") * share * (1 - share)) + 0.5
+    rate = F.col("b") / F.when(F.col("n") > 0, F.col("n"))
+    pooled = single.groupBy("host", "general").agg(
+        F.coalesce(F.percentile_approx(rate, 0.5, F.lit(1000)), F.lit(0.0)).alias("middle"), F.sum("n").alias("pn"))
+    share = (F.col("middle") * F.col("pn") + 0.5) / (F.col("pn") + 1)
+    similar = F.abs(F.col("b") - F.col("n") * share) <= z * F.sqrt(F.col("n") * share * (1 - share)) + 1
     judged = single.join(pooled, ["host", "general"]).withColumn("merged", similar)
     merged = judged.where("merged").groupBy("host", "general").agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
     hosts = single.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
