@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog import oracle as o
 from catalog.registry import query, r6
 from catalog.series import _prepared
-from catalog.views import SMALL_CHUNK, Views
+from catalog.views import Views
 from meterflow.functions.scalars import decode_params, logistic_map
 from meterflow.operators import models, reports, search
 from meterflow.plans import forecast, household, preprocess
@@ -47,13 +47,13 @@ def feature_importance(v: Views):
 @query()
 def rf_forecast(v: Views):
     rows, stats = _lag_rows(v)
-    return _shown(models.fit_and_score(models.forest(20, 8), rows, stats, "forest").metrics)
+    return _shown(models.fit_and_score(models.forest(), rows, stats, "forest").metrics)
 
 
 @query()
 def rff_regression(v: Views):
     rows, stats = _lag_rows(v)
-    mapped = models.fourier_features(rows, 50)
+    mapped = models.fourier_features(rows)
     return _shown(models.fit_and_score(models.robust_linear(), mapped, stats, "kernel").metrics)
 
 
@@ -65,34 +65,42 @@ def robust_linear(v: Views):
 
 @query()
 def gbt_forecast(v: Views):
-    data = household.household_data(v.household(), 3, 7, rows_per_chunk=SMALL_CHUNK)
+    data = household.household_data(v.household(), 3, 7)
     rows = forecast.window_frame(data.windows).withColumn("_held_out", F.col("split") == "val")
-    model = models.boosted(5, validation="_held_out")
+    model = models.boosted(validation="_held_out")
     return _shown(models.fit_and_score(model, rows, data.parts.target_stats(), "boosted").metrics)
 
 
 def _objective(v: Views) -> search.Objective:
-    parts = household.scaled_parts(v.household(), 3, ("P",), rows_per_chunk=SMALL_CHUNK)
+    parts = household.scaled_parts(v.household(), 3)
 
     def windowing(length: int) -> DataFrame:
-        return forecast.window_frame(parts.windows(length, ["P"]))
+        return forecast.window_frame(parts.windows(length))
 
-    return search.Objective(windowing, parts.target_stats(), epochs=2)
+    return search.Objective(windowing, parts.target_stats())
+
+
+# The declared candidates, as points of the unit cube.
+POINTS = ([0.0, 0.0, 0.0, 0.5], [0.1, 0.4, 0.1, 0.5], [0.2, 0.7, 0.2, 0.9])
+
+
+def _candidates(v: Views) -> DataFrame:
+    points = v.spark.createDataFrame([(p,) for p in POINTS], "x array<double>")
+    return search.candidates(points)
 
 
 @query()
 def trial_eval(v: Views):
-    trial = _objective(v).evaluate(search.Params.decode([0.1, 0.4, 0.1, 0.5]))
-    log = search.trial_table(v.spark, [{**trial, "algorithm": "plain", "eval_num": 1}])
+    first = _candidates(v).orderBy("units").limit(1)
+    log = search.score_candidates(v.spark, _objective(v).evaluate, first)
     return log.select(
         "algorithm", "eval_num", "units", "num_layers", "seq", r6("learning_rate"),
         r6("VAL_RMSE_scaled"), r6("VAL_RMSE_orig"), r6("VAL_R2_orig"), "epochs_trained")
 
 
 @query()
-def population_search(v: Views):
-    trials = search.search(
-        v.spark, _objective(v).evaluate, population=2, generations=1, parallelism=2)
+def candidate_search(v: Views):
+    trials = search.score_candidates(v.spark, _objective(v).evaluate, _candidates(v), parallelism=3)
     return trials.select(
         "algorithm", "eval_num", "units", "num_layers", "seq", r6("VAL_RMSE_orig"))
 
@@ -100,8 +108,7 @@ def population_search(v: Views):
 @query()
 def refit_best(v: Views):
     objective = _objective(v)
-    trials = search.search(
-        v.spark, objective.evaluate, (search.PLAIN,), population=2, generations=0, parallelism=2)
+    trials = search.score_candidates(v.spark, objective.evaluate, _candidates(v), parallelism=3)
     best = reports.best_trial(trials).first()
     params = search.Params(best.units, best.num_layers, best.seq, best.learning_rate)
     return _shown(objective.refit(params, best.algorithm).metrics)

@@ -10,14 +10,14 @@ READINGS = """readings AS (
 BUILDINGS = """buildings AS (
   SELECT c_custkey AS building_id, CAST(c_nationkey AS BIGINT) AS site_id,
          c_mktsegment AS primary_use, c_acctbal AS square_feet
-  FROM customer WHERE c_mktsegment <> 'FURNITURE')"""
+  FROM customer)"""
 
 WEATHER = """weather AS (
   SELECT CAST(c_nationkey AS BIGINT) AS site_id, date_trunc('hour', ts) AS timestamp,
          ROUND(AVG(value), 6) AS air_temperature, MIN(value) AS cloud_coverage,
          MAX(value) AS precip_depth_1_hr
   FROM events JOIN customer ON user_id = c_custkey
-  WHERE event_type = 'view' GROUP BY 1, 2)"""
+  GROUP BY 1, 2)"""
 
 HOUSEHOLD = """household AS (
   SELECT event_id, ts AS timestamp, value AS P, value / 460 AS Q,

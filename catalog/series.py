@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import oracle as o
 from catalog.registry import long, query, r6, text
-from catalog.views import READING_ORDER, SMALL_CHUNK, Views
+from catalog.views import READING_ORDER, Views
 from meterflow.operators import joins, scaling, splits, windows
 from meterflow.plans import household, preprocess
 
@@ -132,7 +132,7 @@ def _cut_sql(case: str) -> str:
 
 def _cut(v: Views, option: int):
     return splits.cut_by_position(
-        v.household(), READING_ORDER, option=option, rows_per_chunk=SMALL_CHUNK
+        v.household(), READING_ORDER, option=option
     ).select("event_id", "split")
 
 
@@ -216,7 +216,7 @@ def inverse_scale(v: Views):
     return scaled.select("event_id", r6(stats.restored("meter_reading"), "meter_reading"))
 
 
-USES = ("AUTOMOBILE", "BUILDING", "HOUSEHOLD", "MACHINERY")
+USES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 NUMERIC = (
     "site_id", "square_feet", "air_temperature", "cloud_coverage", "precip_depth_1_hr",
     "hour", "weekday", "is_holiday",
@@ -235,7 +235,7 @@ prepared AS (
 def _prepared(v: Views):
     return preprocess.prepare(
         v.readings(), v.buildings(), v.weather(), preprocess.assign_splits(v.readings()),
-        hourly_weather=True, check_weather=False,
+        hourly_weather=True,
         uses=scaling.categories(v.buildings(), "primary_use"),
     )
 
@@ -279,7 +279,7 @@ w AS (SELECT event_id, split, P AS y, row_number() OVER w AS place, {_steps(HOUS
 SELECT event_id, split, ROUND(y, 6) AS y,
   {", ".join(f"ROUND(x{i}, 6) AS x{i}" for i in range(1, 19))} FROM w WHERE place > 3""")
 def household_dataset(v: Views):
-    data = household.household_data(v.household(), option=3, length=3, rows_per_chunk=SMALL_CHUNK)
+    data = household.household_data(v.household(), option=3, length=3)
     out = data.windows.select(
         "event_id", "split", r6(F.get("y", F.lit(0)), "y"),
         *windows.unfold(windows.flat(), 18, "x"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import oracle as o
 from catalog.registry import long, query, r6, text
-from catalog.views import READING_ORDER, SMALL_CHUNK, Views
+from catalog.views import READING_ORDER, Views
 from meterflow.constants import US_HOLIDAYS
 from meterflow.functions import scalars
 from meterflow.functions.calendar import calendar_features, holiday_flag, parse_timestamps
@@ -214,8 +214,8 @@ def positional_join(v: Views):
     left = v.table("events").select("event_id", "ts")
     right = v.table("orders").select("o_orderkey", "o_orderdate")
     return joins.positional_join(
-        left, Series((), ("ts", "event_id"), SMALL_CHUNK).measure(left),
-        right, Series((), ("o_orderdate", "o_orderkey"), SMALL_CHUNK).measure(right),
+        left, Series((), ("ts", "event_id")).measure(left),
+        right, Series((), ("o_orderdate", "o_orderkey")).measure(right),
         offset=5,
     ).select("event_id", "o_orderkey")
 
@@ -304,7 +304,7 @@ def corr_matrix(v: Views):
     return metrics.correlations(v.household(), list("PQVI")).select("a", "b", r6("r"))
 
 
-@query("SELECT DISTINCT c_mktsegment AS primary_use FROM customer WHERE c_mktsegment <> 'FURNITURE'")
+@query("SELECT DISTINCT c_mktsegment AS primary_use FROM customer")
 def distinct_uses(v: Views):
     return v.buildings().select("primary_use").distinct().orderBy("primary_use")
 
@@ -338,7 +338,7 @@ def label_from_name(v: Views):
 
 
 @query("""SELECT c_custkey AS building_id, c_acctbal AS square_feet FROM customer
-WHERE c_mktsegment <> 'FURNITURE' ORDER BY c_acctbal DESC, c_custkey LIMIT 100""")
+ORDER BY c_acctbal DESC, c_custkey LIMIT 100""")
 def top_k_buildings(v: Views):
     return reports.largest(v.buildings(), "square_feet", "building_id", 100).select(
         "building_id", "square_feet")
@@ -370,7 +370,7 @@ SELECT event_id FROM indexed WHERE pos <= total // 100""")
 def head_subset(v: Views):
     readings = v.readings()
     return splits.first_rows(
-        readings, READING_ORDER, readings.count() // 100, SMALL_CHUNK
+        readings, READING_ORDER, readings.count() // 100
     ).select("event_id")
 
 
@@ -382,7 +382,7 @@ def row_index(v: Views):
 @query(f"""WITH {o.BUILDINGS} SELECT building_id,
   """ + ", ".join(
     f"CAST(primary_use = '{u}' AS DOUBLE) AS \"primary_use_{u}\""
-    for u in ("AUTOMOBILE", "BUILDING", "HOUSEHOLD", "MACHINERY")) + " FROM buildings")
+    for u in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM buildings")
 def one_hot(v: Views):
     buildings = v.buildings().select("building_id", "primary_use")
     return scaling.one_hot(buildings, "primary_use", scaling.categories(buildings, "primary_use"))

@@ -9,8 +9,6 @@ from meterflow.functions.calendar import hour_start
 from meterflow.operators.series import Layout, Series
 from meterflow.operators.windows import lag_features
 
-# Few rows per chunk, so that series are cut on the small test tables as they are on big ones.
-SMALL_CHUNK = 4_096
 READING_ORDER = ("timestamp", "event_id")
 
 
@@ -36,8 +34,7 @@ class Views:
         return Series(["building_id"], READING_ORDER).measure(self.readings())
 
     def buildings(self) -> DataFrame:
-        """One market segment is left out, so that some readings find no building."""
-        return self.table("customer").where("c_mktsegment <> 'FURNITURE'").select(
+        return self.table("customer").select(
             F.col("c_custkey").alias("building_id"),
             F.col("c_nationkey").cast("long").alias("site_id"),
             F.col("c_mktsegment").alias("primary_use"),
@@ -50,7 +47,7 @@ class Views:
         )
         hour = hour_start(F.col("ts")).alias("timestamp")
         return (
-            self.table("events").where("event_type = 'view'").join(sites, "user_id")
+            self.table("events").join(sites, "user_id")
             .groupBy("site_id", hour)
             .agg(
                 F.round(F.avg("value"), 6).alias("air_temperature"),
@@ -69,8 +66,8 @@ class Views:
             (F.length("props") / F.lit(100)).alias("I"),
         )
 
-    def household_layout(self, *measures: str) -> Layout:
-        return Series((), READING_ORDER, SMALL_CHUNK).measure(self.household())
+    def household_layout(self) -> Layout:
+        return Series((), READING_ORDER).measure(self.household())
 
     def predictions(self) -> DataFrame:
         """Three naive forecasts of every reading with seven predecessors, in long form."""

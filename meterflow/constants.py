@@ -32,7 +32,6 @@ MINUTES_PER_TRIAL = 2.5
 FAILED_TRIAL_FITNESS = 1e6
 
 # Meter codes.
-METER_NAMES = {0: "Electricity", 1: "ChilledWater", 2: "Steam", 3: "HotWater"}
 
 # Columns dropped before features are assembled.
 DROPPED_COLUMNS = (

@@ -64,7 +64,10 @@ def vector_distances(
 
 def param_grid(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:
     """Trial table: one row per combination of the listed parameter values."""
-    grid = spark.range(1)
+    grid, done = spark.range(1), []
     for name, values in axes.items():
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+        # dealt out by what is there before it grows again, so that no task makes the whole product
+        grid = (grid.repartition(*done) if done else grid).withColumn(
+            name, F.explode(F.array(*[F.lit(v) for v in values])))
+        done.append(name)
     return grid.drop("id")

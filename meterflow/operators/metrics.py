@@ -8,8 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.operators.series import ROWS_PER_CHUNK, Series
-from meterflow.session import broadcast_if_small
+from meterflow.operators.series import Series
 
 METRICS = ("MSE", "RMSE", "MAE", "MAPE", "MAPE_abs1", "MAPE_clipped", "R2", "RMSLE")
 
@@ -66,7 +65,7 @@ def quantiles(
     tie: str,
     probabilities: Sequence[float],
     names: Sequence[str],
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per group.
 
@@ -75,11 +74,12 @@ def quantiles(
     """
     slim = df.select(by, value, tie)
     layout = Series((by,), (value, tie), rows_per_chunk).measure(slim, few=True)
-    if layout.sizes is not None:
-        sizes = F.broadcast(layout.sizes)
-    else:
+    sizes = layout.sizes
+    if sizes is None:
         sizes = slim.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    ranked = layout.positions(slim).join(sizes, by)
+    sizes = sizes.withColumnRenamed(by, "_of")
+    ranked = layout.positions(slim)
+    ranked = ranked.join(sizes, ranked[by].eqNullSafe(sizes["_of"])).drop("_of")
     place = {p: (F.col("n") - 1) * F.lit(float(p)) + 1 for p in probabilities}
     wanted = F.lit(False)
     for at in place.values():
@@ -96,7 +96,7 @@ def quantiles(
 
 
 def error_boxes(
-    df: DataFrame, by: str = "model", tie: str = "row_id", rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, by: str = "model", tie: str = "row_id", rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Box-plot numbers of the absolute error: quartiles and whiskers inside 1.5 IQR."""
     errors = df.select(by, tie, F.abs(F.col("y_true") - F.col("y_pred")).alias("abs_error"))
@@ -106,7 +106,8 @@ def error_boxes(
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     error = F.col("abs_error")
     inside = error.between(F.col("q1") - reach, F.col("q3") + reach)
-    return errors.join(broadcast_if_small(boxes), by).groupBy(by, "q1", "median", "q3").agg(
+    boxes = boxes.withColumnRenamed(by, "_of")
+    return errors.join(boxes, errors[by].eqNullSafe(boxes["_of"])).groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(inside, error)).alias("whisker_low"),
         F.max(F.when(inside, error)).alias("whisker_high"),
     )
@@ -123,43 +124,10 @@ def anova(df: DataFrame, by: str = "model", value: str = "abs_error") -> DataFra
     within = F.sum(n * F.col("var"))
     df1, df2 = F.count(F.lit(1)) - 1, total - F.count(F.lit(1))
     return groups.agg(
-        (between / df1 / (within / df2)).alias("f"), df1.alias("df1"), df2.alias("df2")
+        F.try_divide(F.try_divide(between, df1), F.try_divide(within, df2)).alias("f"), df1.alias("df1"), df2.alias("df2")
     )
 
 
-def f_tail(f: float, df1: float, df2: float) -> float:
-    """Probability that an F variable exceeds ``f``: the p-value of ``anova``."""
-    x, a, b = df2 / (df2 + df1 * f), df2 / 2, df1 / 2
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + (a * math.log(x) if x > 0 else -math.inf) + (b * math.log1p(-x) if x < 1 else -math.inf)
-    )
-    if x <= (a + 1) / (a + b + 2):
-        return front * _beta_fraction(x, a, b) / a
-    return 1 - front * _beta_fraction(1 - x, b, a) / b
-
-
-def _beta_fraction(x: float, a: float, b: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 500):
-        for term in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1 + term * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + term / c
-            c = c if abs(c) > tiny else tiny
-            value *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return value
-
-
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every two measures, one row per pair, from one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]

@@ -89,8 +89,11 @@ def fourier_features(
     """
     size = vector_size(df)
     if gamma is None:
-        entries = df.where("split = 'train'").select(F.explode(vector_to_array("features")).alias("v"))
-        spread = entries.agg(F.var_pop("v")).first()[0] or 1.0
+        vector = vector_to_array("features")
+        total = lambda f: F.sum(F.aggregate(vector, F.lit(0.0), lambda a, x: a + f(x)))
+        sums = df.where("split = 'train'").agg(
+            total(lambda x: x), total(lambda x: x * x), F.sum(F.size(vector))).first()
+        spread = (sums[1] / sums[2] - (sums[0] / sums[2]) ** 2 if sums[2] else 0.0) or 1.0
         gamma = 1.0 / (size * spread)
     rng = np.random.default_rng(seed)
     directions = rng.normal(0.0, math.sqrt(2 * gamma), (size, count))
@@ -141,16 +144,26 @@ def fit_and_score(
     return Scored(model, predictions.drop("features"), metrics)
 
 
-def importance(model: Model, features: Sequence[str], df: DataFrame, top: int = 10) -> DataFrame:
-    """Features with the largest absolute coefficient."""
+def importance(model: Model, features: Sequence[str], df: DataFrame, top: int | None = 10) -> DataFrame:
+    """Features with the largest absolute coefficient; all of them without ``top``."""
     names = sorted(features)
     rows = [(i, names[i], float(c)) for i, c in enumerate(model.coefficients.toArray())]
     table = df.sparkSession.createDataFrame(rows, "feature_index int, feature string, coefficient double")
-    return (
-        table.withColumn("importance", F.abs("coefficient"))
-        .orderBy(F.col("importance").desc(), "feature_index").limit(top)
-    )
+    ranked = table.withColumn("importance", F.abs("coefficient")).orderBy(F.col("importance").desc(), "feature_index")
+    return ranked if top is None else ranked.limit(top)
+
+
+def training_info(scored: Scored, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row: rows of each part, number of features, intercept and metrics of a linear fit."""
+    parts = [F.count_if(F.col("split") == p).alias(f"{p}_rows") for p in ("train", "val", "test")]
+    counts = rows.agg(*parts).withColumns({
+        "n_features": F.lit(len(features)), "intercept": F.lit(float(scored.model.intercept))})
+    return counts.join(scored.metrics)
 
 
 def save_model(model: Model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def load_model(kind: type[Model], path: str) -> Model:
+    return kind.load(path)

@@ -74,8 +74,12 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object], first: Sequence
 
 def columns_like(df: DataFrame, words: Sequence[str], always: Sequence[str] = ()) -> DataFrame:
     """Columns whose name contains one of ``words``, each once."""
-    names = [c for c in df.columns if c in always or any(w in c.lower() for w in words)]
-    return df.select(*dict.fromkeys(names))
+    places = {}
+    for i, c in enumerate(df.columns):
+        if c in always or any(w in c.lower() for w in words):
+            places.setdefault(c, i)  # of a repeated label the first column
+    single = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    return single.select(*(F.col(f"_{i}").alias(c) for c, i in places.items()))
 
 
 def trial_summary(trials: DataFrame, by: str = "algorithm") -> DataFrame:
@@ -103,11 +107,15 @@ def best_epoch(history: DataFrame, keys: Sequence[str]) -> DataFrame:
 def best_trial(
     trials: DataFrame, by: Sequence[str] = ("algorithm",), fitness: str = "VAL_RMSE_orig"
 ) -> DataFrame:
-    """The trial with the lowest fitness per group, the earliest of equals."""
+    """The trial with the lowest fitness per group, the earliest of equals.
+
+    A fitness that is null or NaN never wins; a group without any other has no row.
+    """
     rest = [c for c in trials.columns if c not in by]
-    rank = F.struct(fitness, "eval_num")
+    known = F.col(fitness).isNotNull() & ~F.isnan(fitness)
+    rank = F.when(known, F.struct(fitness, "eval_num"))
     return (
-        trials.groupBy(*by).agg(F.min_by(F.struct(*rest), rank).alias("_best"))
+        trials.groupBy(*by).agg(F.min_by(F.struct(*rest), rank).alias("_best")).where("_best IS NOT NULL")
         .select(*by, *[F.col(f"_best.{c}").alias(c) for c in rest])
     )
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 1000
-
 
 def nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Turn NaN into null, so that aggregates skip it."""
@@ -74,12 +74,12 @@ class ColumnStats:
 
 
 def categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a category; refuses a column that is no category."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1)
-    values = sorted(row[0] for row in rows.collect())
-    if len(values) > MAX_CATEGORIES:
-        raise ValueError(f"{column!r} has more than {MAX_CATEGORIES} values")
-    return values
+    """Sorted distinct values of a category, to become the names of columns.
+
+    A column per value is a plan per value; ``sparse_one_hot`` takes any number of them.
+    """
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return sorted(row[0] for row in rows.collect())
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence, keep: bool = False) -> DataFrame:
@@ -91,6 +91,18 @@ def one_hot(df: DataFrame, column: str, values: Sequence, keep: bool = False) ->
     return out if keep else out.drop(column)
 
 
+def sparse_one_hot(train: DataFrame, df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with a sparse 0/1 vector over the values that ``column`` has in ``train``.
+
+    Null and unseen values give a vector of zeros.
+    """
+    steps = Pipeline(stages=[
+        StringIndexer(inputCol=column, outputCol="_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCol="_index", outputCol=name, dropLast=True),
+    ])
+    return steps.fit(train).transform(df).drop("_index")
+
+
 def align_columns(frames: Sequence[DataFrame], fill: float = 0.0) -> DataFrame:
     """Union of frames with different columns, gaps set to ``fill``, columns in name order."""
     names = {name for frame in frames for name in frame.columns}

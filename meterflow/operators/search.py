@@ -1,25 +1,22 @@
 """Parameter search: every candidate is one Spark fit over the whole windowed table.
 
-The driver holds a handful of candidate vectors of four numbers; what costs, windowing,
+The driver holds a declared list of candidates of four numbers; what costs, windowing,
 fitting and scoring, runs on the cluster.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
-import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.constants import (
-    FAILED_TRIAL_FITNESS, LAYERS_RANGE, LEARNING_RATE_RANGE, SEQUENCE_RANGE, UNITS_RANGE,
-)
+from meterflow.constants import FAILED_TRIAL_FITNESS
+from meterflow.functions.scalars import decode_params
 from meterflow.operators.metrics import metric_columns
 from meterflow.operators.models import Scored, boosted, fit_and_score, score
 from meterflow.operators.scaling import ColumnStats
@@ -39,18 +36,6 @@ class Params:
     seq: int
     learning_rate: float
 
-    @classmethod
-    def decode(cls, x: Sequence[float]) -> "Params":
-        def whole(value: float, bounds: tuple[int, int]) -> int:
-            low, high = bounds
-            return max(low, min(int(low + value * (high - low)), high))
-
-        slow, fast = LEARNING_RATE_RANGE
-        return cls(
-            whole(x[0], UNITS_RANGE), whole(x[1], LAYERS_RANGE), whole(x[2], SEQUENCE_RANGE),
-            slow + x[3] * (fast - slow),
-        )
-
 
 @dataclass(frozen=True)
 class Objective:
@@ -102,98 +87,34 @@ def trial_table(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in TRIALS.names) for r in rows], TRIALS)
 
 
-@dataclass(frozen=True)
-class Attraction:
-    """How candidates move towards better ones (firefly search, Yang 2009)."""
-
-    name: str
-    alpha: float
-    pull: float
-    absorption: float
-    theta: float
-    chaotic: bool = False
-    chaos: float = 0.5
-    levy: float = 1.5
-    eta: float = 0.4
-
-    def start(self, rng: np.random.Generator, size: int, dimension: int = 4) -> np.ndarray:
-        """Uniform draws, or one draw continued by the logistic map."""
-        if not self.chaotic:
-            return rng.random((size, dimension))
-        points = [rng.random(dimension)]
-        while len(points) < size:
-            points.append(self.eta * points[-1] * (1 - points[-1]))
-        return np.array(points)
-
-    def next_generation(self) -> "Attraction":
-        if not self.chaotic:
-            return replace(self, alpha=self.alpha * self.theta)
-        chaos = (1 / self.chaos) % 1 if self.chaos else 0.0
-        return replace(self, theta=self.theta**2, chaos=chaos)
-
-    def move(self, rng: np.random.Generator, points: np.ndarray, fitness: np.ndarray) -> np.ndarray:
-        """All candidates move at once, so that one generation is one batch of fits."""
-        gaps = points[None, :, :] - points[:, None, :]
-        distance = np.sqrt((gaps**2).sum(axis=2, keepdims=True))
-        noise = rng.random(gaps.shape) - 0.5
-        if self.chaotic:
-            better = fitness[:, None] > fitness[None, :]
-            beta = (self.chaos - self.pull) * np.exp(-self.absorption * distance) + self.pull
-            steps = self.alpha * self.theta * noise * self._levy_steps(rng, gaps.shape)
-        else:
-            better = fitness[:, None] >= fitness[None, :]
-            beta = self.pull * np.exp(-self.absorption * distance**2)
-            steps = self.alpha * noise
-        moves = np.where(better[:, :, None], beta * gaps + steps, 0.0).sum(axis=1)
-        return np.clip(points + moves, 0.0, 1.0)
-
-    def _levy_steps(self, rng: np.random.Generator, shape: tuple[int, ...]) -> np.ndarray:
-        t = self.levy
-        width = math.gamma(1 + t) * math.sin(math.pi * t / 2)
-        width /= math.gamma((1 + t) / 2) * t * 2 ** ((t - 1) / 2)
-        return rng.normal(0, width ** (1 / t), shape) / np.abs(rng.normal(0, 1, shape)) ** (1 / t)
-
-
-# Coefficients of the plain and of the modified search.
-PLAIN = Attraction("plain", alpha=1.0, pull=1.0, absorption=0.01, theta=0.97)
-MODIFIED = Attraction("modified", alpha=0.5, pull=0.1, absorption=1.0, theta=0.9, chaotic=True)
-
-
-def search(
+def candidates(vectors: DataFrame, vector: str = "x") -> DataFrame:
+    """Distinct parameters that a table of vectors in the unit cube stands for."""
+    return vectors.select(*(
+        c.alias(name) for name, c in decode_params(F.col(vector)).items())).distinct()
+
+
+def score_candidates(
     spark: SparkSession,
     evaluate: Callable[[Params], dict],
-    algorithms: Sequence[Attraction] = (MODIFIED, PLAIN),
-    population: int = 5,
-    generations: int = 12,
-    seed: int = 42,
-    log: Callable[[DataFrame], None] | None = None,
+    table: DataFrame,
+    algorithm: str = "grid",
     parallelism: int = 1,
+    log: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Trials of every algorithm, in order; ``log`` receives each generation as it ends.
+    """The trial of every candidate of ``table``, in the order of their parameters.
 
-    Candidates of a generation do not depend on each other: ``parallelism`` of them are
-    fitted at a time, as jobs of one session.
+    Each candidate is a fit over the whole windowed table, so their list is short beside the
+    work it stands for; ``parallelism`` of them are fitted at a time, as jobs of one session.
+    ``log`` receives the trials at the end.
     """
     evaluate = inheritable_thread_target(spark)(evaluate)
-    rows: list[dict] = []
-    for algorithm in algorithms:
-        rng, name, done = np.random.default_rng(seed), algorithm.name, 0
-        points = algorithm.start(rng, population)
-        for generation in range(generations + 1):
-            if generation:
-                algorithm = algorithm.next_generation()
-                points = algorithm.move(rng, points, fitness)
-            candidates = [Params.decode(point) for point in points.tolist()]
-            with ThreadPoolExecutor(parallelism) as pool:
-                found = list(pool.map(evaluate, candidates))
-            stamp = datetime.now(timezone.utc).replace(tzinfo=None)
-            batch = [
-                {**trial, "algorithm": name, "eval_num": done + i, "timestamp": stamp}
-                for i, trial in enumerate(found, 1)
-            ]
-            done += len(batch)
-            fitness = np.array([trial["VAL_RMSE_orig"] for trial in batch])
-            rows += batch
-            if log:
-                log(trial_table(spark, batch))
-    return trial_table(spark, rows)
+    names = ("units", "num_layers", "seq", "learning_rate")
+    listed = [Params(*row) for row in table.select(*names).orderBy(*names).collect()]
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(evaluate, listed))
+    stamp = datetime.now(timezone.utc).replace(tzinfo=None)
+    trials = trial_table(spark, [
+        {**trial, "algorithm": algorithm, "eval_num": i, "timestamp": stamp} for i, trial in enumerate(found, 1)])
+    if log:
+        log(trials)
+    return trials

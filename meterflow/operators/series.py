@@ -16,6 +16,7 @@ Order columns are a measure or time followed by a unique integer; neither may be
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -28,7 +29,9 @@ from pyspark.sql import types as T
 from meterflow.functions.calendar import epoch_micros
 from meterflow.session import small_table
 
-ROWS_PER_CHUNK = 2_000_000
+# A chunk is a partition's share of the table, within these bounds.
+MOST_ROWS_PER_CHUNK = 2_000_000
+LEAST_ROWS_PER_CHUNK = 100_000
 # Bounds every list the driver holds and every table broadcast here, whatever the input size.
 MAX_CHUNKS = 20_000
 MAX_FETCHED = 10_000
@@ -44,7 +47,7 @@ class Series:
 
     keys: Sequence[str]
     order: tuple[str, str]
-    rows_per_chunk: int = ROWS_PER_CHUNK
+    rows_per_chunk: int | None = None
 
     def measure(self, df: DataFrame, few: bool = False) -> "Layout":
         """Count the series of ``df`` and cut those too long for one task.
@@ -66,7 +69,7 @@ class Series:
             longest = max((row.n for row in fetched), default=0)
         if nulls:
             raise ValueError(f"order columns {self.order} hold {nulls} nulls")
-        chunk = max(self.rows_per_chunk, (total or 0) // MAX_CHUNKS)
+        chunk = max(self.rows_per_chunk or _share(df.sparkSession, total or 0), (total or 0) // MAX_CHUNKS)
         layout = Layout(self, total or 0, chunk)
         if fetched is not None:
             fields = [df.schema[k] for k in self.keys] + _longs("n").fields
@@ -93,10 +96,24 @@ class Series:
         return df.withColumns({"_axis": axis, "_tie": F.col(tie)})
 
 
+def _share(spark: SparkSession, rows: int) -> int:
+    share = rows // int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_ROWS_PER_CHUNK, max(LEAST_ROWS_PER_CHUNK, share))
+
+
+def _finite(axis: str = "_axis") -> Column:
+    """Null for NaN and the infinities, which have bins of their own at the ends."""
+    value = F.col(axis)
+    return F.when(F.abs(value.cast("double")) < float("inf"), value)
+
+
 def _extent() -> list[Column]:
+    value = F.col("_axis").cast("double")
     return [
         F.count(F.lit(1)).alias("n"),
-        F.min("_axis").alias("lo"), F.max("_axis").alias("hi"),
+        F.min(_finite()).alias("lo"), F.max(_finite()).alias("hi"),
+        F.count_if(value == float("-inf")).alias("below"), F.count_if(value == float("inf")).alias("above"),
+        F.count_if(F.isnan(value)).alias("nans"),
         F.min("_tie").alias("tie_lo"), F.max("_tie").alias("tie_hi"),
     ]
 
@@ -110,14 +127,21 @@ class Bin:
     extent: Row
 
     def division(self, chunk: int) -> tuple[bool, float, float, int] | None:
-        """Axis (True = tie-break), lower end, width and number of equal parts."""
+        """Axis (True = tie-break), lower end, width and number of equal parts.
+
+        By the order column, three more bins take -infinity, infinity and NaN. Each division
+        parts rows that differ, so every round makes progress.
+        """
         rows = self.extent
         parts = min(MAX_BINS, max(2, math.ceil(BINS_PER_CHUNK * rows.n / chunk)))
-        if rows.hi > rows.lo:
-            lo, hi, by_tie = float(rows.lo), float(rows.hi), False
-        else:
-            lo, hi, by_tie = float(rows.tie_lo), float(rows.tie_hi), True
-        return (by_tie, lo, hi - lo, parts) if hi > lo else None
+        finite = rows.n - rows.below - rows.above - rows.nans
+        lo, hi = (float(rows.lo), float(rows.hi)) if finite else (0.0, 0.0)
+        if hi > lo:
+            return False, lo, min(hi - lo, sys.float_info.max), parts
+        if sum(n > 0 for n in (finite, rows.below, rows.above, rows.nans)) > 1:
+            return False, lo, 1.0, parts
+        lo, hi = float(rows.tie_lo), float(rows.tie_hi)
+        return (True, lo, hi - lo, parts) if hi > lo else None
 
 
 @dataclass(frozen=True)
@@ -184,9 +208,9 @@ class Layout:
                     final[bin_id] = parent
                     continue
                 rows.append((*match, next_id, *division))
-                for part in range(division[3]):
+                for part in range(division[3] + 3):
                     children[next_id + part] = (parent.root, parent.path + (part,))
-                next_id += division[3]
+                next_id += division[3] + 3
             if not rows:
                 break
             if not keys and not self.levels:
@@ -411,7 +435,11 @@ class Layout:
 def _part_of(base: Column, by_tie: Column, lo: Column, width: Column, parts: Column) -> Column:
     """Bin of a row: the equal part of a division its order value falls into."""
     value = F.when(by_tie, F.col("_tie").cast("double")).otherwise(F.col("_axis").cast("double"))
-    return base + F.least(F.floor((value - lo) / width * parts), parts - 1)
+    share = F.least((value - lo) / width, F.lit(1.0))
+    part = F.least(F.floor(share * parts), parts - 1) + 1
+    return base + (
+        F.when(value == float("-inf"), 0).when(value == float("inf"), parts + 1)
+        .when(F.isnan(value), parts + 2).otherwise(part).cast("long"))
 
 
 def _longs(*names: str) -> T.StructType:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meterflow.constants import (
     GROUP_SPLIT_FRACTIONS, LOOKBACK_ROWS, TRAIN_FRACTION, VALIDATION_WITHIN_TRAIN,
 )
-from meterflow.operators.series import ROWS_PER_CHUNK, Layout, Series
+from meterflow.operators.series import Layout, Series
 from meterflow.session import checkpointed
 
 SPLITS = ("train", "val", "test")
@@ -64,7 +64,7 @@ def cut_positions(
     order: tuple[str, str],
     sizes: Mapping[str, int] | None = None,
     option: int = 2,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> Cut:
     """Label rows by their position in the whole table.
 
@@ -95,7 +95,7 @@ def cut_by_position(
     order: tuple[str, str],
     sizes: Mapping[str, int] | None = None,
     option: int = 2,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """The labelled table of ``cut_positions``."""
     return cut_positions(df, order, sizes, option, rows_per_chunk).frame
@@ -115,7 +115,7 @@ def _before(df: DataFrame, order: tuple[str, str], row) -> Column:
 
 
 def first_rows(
-    df: DataFrame, order: tuple[str, str], n: int, rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, order: tuple[str, str], n: int, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """The first ``n`` rows in order, without a sort of the table."""
     return cut_by_position(df, order, {"head": n}, rows_per_chunk=rows_per_chunk).drop("split")
@@ -140,7 +140,7 @@ def disjoint_split(
     limits: Mapping[str, int] | None = None,
     fractions: Sequence[float] = GROUP_SPLIT_FRACTIONS,
     group: str = "building_id",
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Give whole groups, largest first, to train, then validation, then test.
 

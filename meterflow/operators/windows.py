@@ -64,13 +64,16 @@ def sliding_windows(
         target = F.col(features[0]).cast("double")
         return {
             "x": F.collect_list(step).over(w.rowsBetween(-length, -1)),
-            "y": F.collect_list(target).over(w.rowsBetween(0, horizon - 1)),
+            # structs, as a list of values would leave out nulls
+            "_y": F.collect_list(F.struct(target.alias("v"))).over(w.rowsBetween(0, horizon - 1)),
             "window_start": F.lag(ts, length).over(w),
             "position": pos.cast("long"),
         }
 
     out = layout.over(df, build, preceding=length, following=horizon - 1)
-    return out.where((F.col("position") > length) & (F.size("y") == horizon))
+    full = out.where((F.col("position") > length) & (F.size("_y") == horizon))
+    places = {c: F.col("_y.v") if c == "y" else F.col(c) for c in [*df.columns, "x", "y", "window_start", "position"]}
+    return full.select(*(column.alias(name) for name, column in places.items()))
 
 
 def flat(window: str = "x") -> Column:

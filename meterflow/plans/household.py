@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from meterflow.functions.calendar import calendar_features
 from meterflow.operators import scaling, splits
-from meterflow.operators.series import ROWS_PER_CHUNK
 from meterflow.operators.windows import sliding_windows
 
 CALENDAR = ("minute", "weekday", "hour")
@@ -57,7 +56,7 @@ def scaled_parts(
     measures: Sequence[str] = ("P", "Q", "V"),
     order: tuple[str, str] = ("timestamp", "event_id"),
     fit_on_validation: bool = False,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> ScaledParts:
     """Measures and calendar columns, labelled by part and scaled from training rows.
 
@@ -80,7 +79,7 @@ def household_data(
     order: tuple[str, str] = ("timestamp", "event_id"),
     fit_on_validation: bool = False,
     external: DataFrame | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> HouseholdData:
     """Windows of the parts of one option.
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -50,6 +49,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meterflow-"))
     return df.checkpoint()
 
@@ -63,14 +64,3 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType
     arrow = to_arrow_schema(schema)
     arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=schema)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """``df`` ready to be broadcast if it has at most ``max_rows`` rows, else ``df`` itself.
-
-    For summaries that are small by nature (one row per model) but carry no size estimate.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(small_table(df.sparkSession, [tuple(r) for r in rows], df.schema))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import time
 from collections.abc import Mapping, Sequence
 
@@ -20,10 +21,12 @@ from meterflow.schema import TRIALS
 def latest_predictions(artifacts: DataFrame, by: str = "algorithm") -> DataFrame:
     """Predictions of the newest run of each algorithm, never below zero.
 
-    Values may stand on the row or inside a ``payload``.
+    Values may stand on the row or inside a ``payload``. An undated run counts as newest.
     """
-    newest = artifacts.groupBy(by).agg(F.max("run_ts").alias("run_ts"))
-    rows = artifacts.join(newest, [by, "run_ts"])
+    age = F.struct(F.col("run_ts").isNull(), "run_ts")
+    newest = artifacts.groupBy(F.col(by).alias("_of")).agg(F.max_by("run_ts", age).alias("_at"))
+    same = artifacts[by].eqNullSafe(newest["_of"]) & artifacts["run_ts"].eqNullSafe(newest["_at"])
+    rows = artifacts.join(newest, same, "left_semi")
     if "payload" in artifacts.columns:
         rows = rows.withColumns({
             c: F.coalesce(F.col(f"payload.{c}"), F.col(c)) for c in ("y_true", "y_pred")
@@ -190,11 +193,14 @@ def read_labelled(
                            pathGlobFilter="*.csv").inputFiles()
     if not files:
         raise FileNotFoundError(f"no CSV files in {path}")
+    heads = spark.read.text(files).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("place"),
+    ).where("at = 0").groupBy("file").agg(F.min_by("value", "place").alias("head")).orderBy("file")
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        header = spark.read.text(file).limit(1).collect()
-        if header and header[0][0].strip():
-            by_header.setdefault(tuple(header[0][0].split(",")), []).append(file)
+    for row in heads.collect():  # one job for all files, one row for each
+        if row["head"].strip():
+            by_header.setdefault(tuple(next(csv.reader([row["head"]]))), []).append(row["file"])
     merged = None
     for names, group in by_header.items():
         columns = ", ".join(f"`{n}` string" for n in names)

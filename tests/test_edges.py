@@ -12,6 +12,7 @@ from meterflow.functions.calendar import calendar_features, holiday_flag, parse_
 from meterflow.operators import joins, metrics, reports, resample, scaling, splits, windows
 from meterflow.operators.series import Series
 from meterflow.plans import household
+from meterflow.sources import results
 
 TS = "TIMESTAMP_NTZ"
 
@@ -193,8 +194,57 @@ def test_anova_of_known_groups(spark):
             columns="model string, abs_error double")
     row = metrics.anova(df).first()
     assert row.f == pytest.approx(9.264706, abs=1e-6) and (row.df1, row.df2) == (2, 15)
-    assert metrics.f_tail(row.f, row.df1, row.df2) == pytest.approx(0.002398777, abs=1e-8)
-    assert metrics.f_tail(1.0, 1, 1) == pytest.approx(0.5)
+    one = metrics.anova(df.where("model = 'a'")).first()
+    assert one.f is None and one.df1 == 0
+
+
+def test_null_groups_have_boxes(spark):
+    df = at(spark, *[(m, i, float(i), 0.0) for m in ("m", None) for i in range(5)],
+            columns="model string, row_id long, y_true double, y_pred double")
+    for chunk in (2, 100):
+        rows = metrics.error_boxes(df, rows_per_chunk=chunk).collect()
+        assert {(r.model, r.q1, r.median, r.q3) for r in rows} == {("m", 1.0, 2.0, 3.0), (None, 1.0, 2.0, 3.0)}
+
+
+def test_unknown_fitness_never_wins(spark):
+    df = at(spark, ("a", 1, 5.0), ("a", 2, None), ("a", 3, float("nan")), ("a", 4, 3.0), ("b", 1, None),
+            columns="algorithm string, eval_num long, VAL_RMSE_orig double")
+    assert [(r.algorithm, r.eval_num) for r in reports.best_trial(df).collect()] == [("a", 4)]
+
+
+def test_repeated_labels_appear_once(spark):
+    df = spark.range(1).selectExpr("1 AS rmse", "2 AS mae", "3 AS rmse", "4 AS other")
+    out = reports.columns_like(df, ["rmse", "mae"])
+    assert out.columns == ["rmse", "mae"] and tuple(out.first()) == (1, 2)
+
+
+def test_windows_keep_null_targets(spark):
+    df = spark.range(20).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2016-01-01' + make_dt_interval(0, 0, id) AS t",
+        "CASE WHEN id <> 9 THEN CAST(id AS DOUBLE) END AS P")
+    for chunk in (4, 100):
+        layout = Series((), ("t", "event_id"), chunk).measure(df)
+        for horizon, count in ((1, 17), (2, 16)):
+            out = windows.sliding_windows(df, layout, ["P"], 3, "t", horizon).collect()
+            assert len(out) == count
+            for r in out:
+                want = [None if k == 9 else float(k) for k in range(r.event_id - 3, r.event_id + horizon)]
+                assert [v[0] for v in r.x] + r.y == want
+
+
+def test_many_categories(spark):
+    df = spark.range(1001).selectExpr("id", "concat('c', id) AS c")
+    assert len(scaling.categories(df, "c")) == 1001
+    out = scaling.sparse_one_hot(df, df.union(spark.sql("SELECT 5000L, 'new'")), "c", "v").collect()
+    assert {int(r.v.size) for r in out} == {1001}
+    assert sorted(int(r.v.indices[0]) for r in out if r.id < 1001) == list(range(1001))
+    assert next(r for r in out if r.id == 5000).v.numNonzeros() == 0
+
+
+def test_undated_predictions_count_as_newest(spark):
+    df = at(spark, ("a", datetime(2020, 1, 1), 1.0, 2.0), ("a", datetime(2021, 1, 1), 3.0, -4.0), ("b", None, 5.0, 6.0),
+            ("b", datetime(2022, 1, 1), 7.0, 8.0), columns="algorithm string, run_ts timestamp_ntz, y_true double, y_pred double")
+    assert {(r.algorithm, r.y_true, r.y_pred) for r in results.latest_predictions(df).collect()} == {("a", 3.0, 0.0), ("b", 5.0, 6.0)}
 
 
 def test_undated_run_counts_as_latest(spark):

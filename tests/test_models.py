@@ -68,35 +68,19 @@ def test_rowwise_function(spark):
     assert [r.y for r in out] == [5.0 * r.id**2 for r in out]
 
 
-def test_decoding_clamps():
-    assert search.Params.decode([0, 0, 0, 0]) == search.Params(32, 1, 3, 0.005)
-    assert search.Params.decode([1, 1, 1, 1]) == search.Params(512, 4, 32, 0.02)
-    assert search.Params.decode([2, 2, 2, 0]).units == 512
-
-
-def test_search_improves_and_repeats(spark):
-    target = np.array([0.7, 0.2])
+def test_candidates_are_decoded_and_scored(spark):
+    points = spark.createDataFrame([([0.0] * 4,), ([1.0] * 4,), ([2.0, 2.0, 2.0, 0.0],), ([0.0] * 4,)], "x array<double>")
+    table = search.candidates(points)
+    assert {tuple(r) for r in table.collect()} == {(32, 1, 3, 0.005), (512, 4, 32, 0.02), (512, 4, 32, 0.005)}
+    logged = []
 
     def evaluate(params):
-        x = np.array([(params.units - 32) / 480, (params.seq - 3) / 29])
-        return {**vars(params), "VAL_RMSE_orig": float(((x - target) ** 2).sum())}
+        return {**vars(params), "VAL_RMSE_orig": float(abs(params.units - 500) + params.learning_rate)}
 
-    logged = []
-    log = lambda batch: logged.append(batch.count())
-    trials = search.search(spark, evaluate, population=5, generations=6, log=log)
-    again = search.search(spark, evaluate, population=5, generations=6)
-    found = trials.select("algorithm", "eval_num", "units", "VAL_RMSE_orig").collect()
-    assert found == again.select("algorithm", "eval_num", "units", "VAL_RMSE_orig").collect()
-    assert len(found) == 2 * 7 * 5 and logged == [5] * 14
-    for name in ("plain", "modified"):
-        scores = [r.VAL_RMSE_orig for r in found if r.algorithm == name]
-        assert min(scores) < min(scores[:5])
-    assert {r.algorithm for r in reports.best_trial(trials).collect()} == {"plain", "modified"}
-
-
-def test_modified_search_starts_on_the_logistic_map():
-    points = search.MODIFIED.start(np.random.default_rng(1), 4)
-    assert np.allclose(points[1:], 0.4 * points[:-1] * (1 - points[:-1]))
+    trials = search.score_candidates(spark, evaluate, table, parallelism=2, log=lambda t: logged.append(t.count()))
+    assert [r.eval_num for r in trials.orderBy("units", "learning_rate").collect()] == [1, 2, 3] and logged == [3]
+    best = reports.best_trial(trials).first()
+    assert (best.units, best.learning_rate) == (512, 0.005)
 
 
 def test_candidate_without_windows_fails(spark, rows):

@@ -99,3 +99,15 @@ def test_positions_of_any_values(spark, values, chunk):
     layout = Series((), ("t", "id"), chunk).measure(df)
     found = [(r.t, r.id) for r in layout.positions(df).orderBy("_pos").collect()]
     assert found == sorted(rows)
+
+
+@pytest.mark.parametrize("chunk", [3, 10])
+def test_values_without_end(spark, chunk):
+    odd = [float("nan"), float("inf"), float("-inf"), 1.7e308, -1.7e308, 0.0]
+    for values in ([float(i) for i in range(60)] + odd[:1], [float(i % 7) for i in range(60)] + odd * 3,
+                   [5.0] * 40, odd[:1] * 40, odd[1:3] * 20, odd * 8):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(3)
+        whole, cut = Series((), ("v", "id"), 10**6).measure(df), Series((), ("v", "id"), chunk).measure(df)
+        assert cut.is_cut and not whole.is_cut
+        assert same(cut.positions(df), whole.positions(df))
+        assert max(run.end - run.start for run in cut.runs) <= chunk
