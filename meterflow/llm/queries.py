@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +16,28 @@ from meterflow.llm import (
 )
 from meterflow.llm.common import table
 
-QUERIES = {"pipeline": corpus_pipeline.run}
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(build):
+    """``build`` with this repository on the path of the Python workers, where it lies there."""
+    @wraps(build)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        environment = spark.sparkContext.environment
+        paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+        return build(spark, folder)
+
+    return run
+
+
+QUERIES = {"pipeline": importable(corpus_pipeline.run)}
 SQL = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
 
 
 def query(build):
-    QUERIES[build.__name__] = build
+    QUERIES[build.__name__] = importable(build)
     return build
 
 
@@ -76,7 +96,7 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without the 200-byte strings that stand elsewhere too."""
     documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = suffixes.remove_repeats(documents)
+    found = suffixes.remove_repeats(documents, texts_too=False)
     return found.select(F.col("id").alias("doc_id"), *(
         F.col(f"cut.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
 

@@ -12,7 +12,7 @@ known prefixes are never compared again. In the merged order the common bytes to
 left of any two suffixes of a gram follow, and with them the bytes that a repeated string covers.
 
 Nothing hangs on one key: copies of a whole context collapse in each run before they travel,
-and grams with more than ``hot`` places are resolved by grouping their strings instead, one
+and grams in more than ``hot`` contexts are resolved by grouping their strings instead, one
 row for each string. Defined cases: null texts are empty; texts shorter than ``length`` keep
 all; a repeated row is another place; rows are told apart by a 64-bit hash of id and text.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterflow.llm.common import list_array, prefix_hashes, steps, stored, text_bytes, window_hashes
+from meterflow.llm.common import discard, mixed, prefix_hashes, steps, stored, text_bytes, window_hashes
 
 #: Bytes of a gram at most; never more than half of the repeated string.
 GRAM = 40
@@ -49,17 +49,17 @@ def _sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
     return values if span == size else pick(values[:span - size], values[size - span:])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in its text and gram hash of every anchor."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Row, place in its text, gram hash and context hash of every anchor."""
     gram = min(GRAM, length // 2 or 1)
     first = int(offsets[0])
     data, offsets = data[first:int(offsets[-1])], offsets - first
     n = len(data) - gram + 1
     windows = len(data) - length + 1
     if windows <= 0:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    at = np.arange(n)
-    hashes = window_hashes(prefix_hashes(data), at, at + gram)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    at, sums = np.arange(n), prefix_hashes(data)
+    hashes = window_hashes(sums, at, at + gram)
     least = _sliding(hashes, length - gram + 1, np.minimum)
     inside = np.zeros(windows + 1, np.int32)  # windows that lie in one text
     long = np.flatnonzero(np.diff(offsets) >= length)
@@ -69,34 +69,59 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     pad = np.zeros(length - gram, np.uint64)
     chosen = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), length - gram + 1, np.maximum) == hashes)
     row = np.searchsorted(offsets, chosen, "right") - 1
-    return row, chosen - offsets[row], hashes[chosen]
+    context = window_hashes(
+        sums, np.maximum(chosen - length + gram, offsets[row]), np.minimum(chosen + length, offsets[row + 1]))
+    return row, chosen - offsets[row], hashes[chosen], context
+
+
+PACKED = "zstd"
+
+
+@F.arrow_udf(T.BinaryType())
+def packed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Compressed texts, as they travel and are stored; four bytes tell the size."""
+    codec = pa.Codec(PACKED)
+    for batch in texts:
+        raw = (t.encode() for t in batch.fill_null("").to_pylist())
+        yield pa.array([len(t).to_bytes(4, "big") + codec.compress(t, asbytes=True) for t in raw], pa.binary())
+
+
+def unpacked(codec: pa.Codec, value: bytes) -> bytes:
+    size = int.from_bytes(value[:4], "big")
+    return codec.decompress(value[4:], size, asbytes=True) if size else b""
 
 
 ANCHOR = T.StructType([
     T.StructField("gram", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("place", T.IntegerType()),
-    T.StructField("held", T.IntegerType()), T.StructField("sent", T.BooleanType())])
+    T.StructField("held", T.IntegerType()), T.StructField("forms", T.IntegerType()), T.StructField("sent", T.BooleanType())])
 
 
 def anchor_rows(documents: DataFrame, length: int) -> DataFrame:
-    """Anchors of (text_key, text), with how often the task holds the gram; one of them is sent."""
+    """Anchors of (text_key, text); of those of one gram in a task, one is sent.
+
+    ``held`` tells how often the task holds the gram, ``forms`` in how many contexts.
+    """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            key, place, gram = (np.concatenate(x) for x in zip(*waiting))
+            key, place, gram, context = (np.concatenate(x) for x in zip(*waiting))
             _, once, which, held = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
             sent = np.zeros(len(gram), bool)
             sent[once] = True
+            _, form = np.unique(context, return_index=True)
+            forms = np.bincount(which[form], minlength=len(once))
             return pa.RecordBatch.from_arrays(
                 [pa.array(gram.view(np.int64)), pa.array(key), pa.array(place.astype(np.int32)),
-                 pa.array(held[which].astype(np.int32)), pa.array(sent)], names=ANCHOR.names)
+                 pa.array(held[which].astype(np.int32)), pa.array(forms[which].astype(np.int32)), pa.array(sent)],
+                names=ANCHOR.names)
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
             for start, stop in steps(offsets):
-                row, place, gram = anchors(data, offsets[start:stop + 1], length)
-                waiting.append((keys[start + row], place, gram))
+                row, place, gram, context = anchors(data, offsets[start:stop + 1], length)
+                waiting.append((keys[start + row], place, gram, context))
                 if sum(len(x[0]) for x in waiting) >= FLUSH_ANCHORS:
                     yield flush()
                     waiting.clear()
@@ -230,15 +255,14 @@ def sorted_runs(places: DataFrame, length: int, parts: int) -> DataFrame:
     gram = min(GRAM, length // 2 or 1)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
+        codec = pa.Codec(PACKED)
         suffixes: list[np.ndarray] = []
         keys: list[np.ndarray] = []
         where: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             run, key, place = np.concatenate(suffixes), np.concatenate(keys), np.concatenate(where)
-            at = np.arange(len(run)) * run.shape[1]
-            part = window_hashes(prefix_hashes(run.ravel()), at, at + gram) % np.uint64(parts)
+            part = gram_hashes(run[:, :gram]) % np.uint64(parts)
             order = np.argsort(run.view(f"S{run.shape[1]}").ravel(), kind="stable")
             order = order[np.argsort(part[order], kind="stable")]
             run, key, place, part = run[order], key[order], place[order], part[order]
@@ -260,10 +284,9 @@ def sorted_runs(places: DataFrame, length: int, parts: int) -> DataFrame:
         held = 0
         for batch in batches:
             text_keys = batch.column(0).to_numpy()
-            data, offsets = text_bytes(batch.column(1))
             for row, own in enumerate(batch.column(2)):
                 own = np.sort(np.asarray(own.values.to_numpy(zero_copy_only=False), np.int64))
-                text = data[offsets[row]:offsets[row + 1]]
+                text = np.frombuffer(unpacked(codec, batch.column(1)[row].as_py()), np.uint8)
                 for at in range(0, len(own), 20_000):
                     some = own[at:at + 20_000]
                     suffixes.append(contexts(text, some, length))
@@ -280,6 +303,14 @@ def sorted_runs(places: DataFrame, length: int, parts: int) -> DataFrame:
     return places.select("text_key", "text", "places").mapInArrow(build, BLOCK)
 
 
+def gram_hashes(grams: np.ndarray) -> np.ndarray:
+    """A hash of each row, one column at a time, so that no wide copy of the rows is made."""
+    out = np.zeros(len(grams), np.uint64)
+    for column in range(grams.shape[1]):
+        out = mixed(out + grams[:, column].astype(np.uint64) + np.uint64(1))
+    return out
+
+
 def _ranges(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
     bounds = np.flatnonzero(np.diff(sorted_values)) + 1
     yield from zip([0, *bounds.tolist()], [*bounds.tolist(), len(sorted_values)])
@@ -342,7 +373,7 @@ def merged_spans(blocks: DataFrame, length: int) -> DataFrame:
     gram = min(GRAM, length // 2 or 1)
 
     def resolve(table: pa.Table) -> pa.Table:
-        codec = pa.Codec("zstd")
+        codec = pa.Codec(PACKED)
         runs, keys, places, numbers, sures = [], [], [], [], []
         for row in table.to_pylist():
             tails = codec.decompress(row["tails"][4:], int.from_bytes(row["tails"][:4], "big"), asbytes=True)
@@ -400,11 +431,11 @@ def hot_spans(places: DataFrame, length: int) -> DataFrame:
         T.StructField("before", T.IntegerType()), T.StructField("string", T.BinaryType()), T.StructField("copies", T.LongType())])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec(PACKED)
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            data, offsets = text_bytes(batch.column(1))
             for row, own in enumerate(batch.column(2)):
-                text = data[offsets[row]:offsets[row + 1]].tobytes()
+                text = unpacked(codec, batch.column(1)[row].as_py())
                 for place in own.values.to_numpy(zero_copy_only=False):
                     before = np.arange(max(0, place + length - len(text)), min(reach, place) + 1)
                     names = [hashlib.md5(text[place - d:place - d + length]).digest() for d in before]
@@ -422,20 +453,22 @@ def hot_spans(places: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame, length: int = 200, hot: int = 100_000, part_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """Texts with possible repeats (text_key, text), and spans (text_key, start, stop) to remove.
+    """Texts with possible repeats (text_key, packed text), and spans (text_key, start, stop) to remove.
 
     ``documents`` has text_key and text. Spans of a text may overlap.
     """
     found = stored(anchor_rows(documents, length))
     everywhere = Window.partitionBy("gram")  # at most one row of a task, so never a hot group
-    met = found.where("sent").withColumn("total", F.sum(F.col("held").cast("long")).over(everywhere)).where("total > 1")
-    met = stored(met.select("gram", "text_key", "place", "total"))
-    frequent = stored(met.where(F.col("total") > hot).select("gram").distinct().withColumn("hot", F.lit(True)))
+    sums = {"total": F.sum(F.col("held").cast("long")).over(everywhere), "all_forms": F.sum(F.col("forms").cast("long")).over(everywhere)}
+    met = stored(found.where("sent").select("gram", "text_key", "place", "held", "forms").withColumns(sums).where("total > 1").select(
+        "gram", "text_key", "place", "all_forms"))
+    frequent = stored(met.where(F.col("all_forms") > hot).select("gram").distinct().withColumn("hot", F.lit(True)))
     places = met.select("gram", "text_key", "place").union(found.where("not sent").select("gram", "text_key", "place"))
     own = places.join(frequent, "gram", "left").groupBy("text_key").agg(
         F.collect_set(F.when(F.col("hot").isNull(), F.col("place"))).alias("places"),
         F.collect_set(F.when(F.col("hot"), F.col("place"))).alias("hot_places"))
-    texts = stored(documents.select("text_key", "text").join(own, "text_key"))
+    texts = stored(documents.select("text_key", packed("text").alias("text")).join(own, "text_key"))
+    discard(found, met)
     count = texts.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
     blocks = sorted_runs(texts.where(F.size("places") > 0), length, max(1, -(-count // part_rows)))
     spans = merged_spans(blocks, length)
@@ -445,25 +478,31 @@ def repeated_spans(documents: DataFrame, length: int = 200, hot: int = 100_000,
     return texts.select("text_key", "text"), spans
 
 
-def remove_repeats(documents: DataFrame, length: int = 200, id_column: str = "id", cut_column: str = "cut", **how) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 200, id_column: str = "id", cut_column: str = "cut", texts_too: bool = True, **how) -> DataFrame:
     """``documents`` (id, text and more) with a struct ``cut`` beside their columns.
 
     It holds kept_text, n_bytes, n_removed, n_spans and kept_sha256. Bytes covered by a string
     of ``length`` bytes that also starts elsewhere are removed. Where that cuts a character,
-    what is left of it counts in the digest but is dropped from kept_text.
+    what is left of it counts in the digest but is dropped from kept_text. Without
+    ``texts_too`` neither the texts nor kept_text are given, so no text moves for them.
     """
     key = F.xxhash64(id_column, "text")
     pairs = documents.select(key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     texts, spans = repeated_spans(pairs, length, **how)
     spans = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    cut = texts.distinct().join(spans, "text_key").select("text_key", cut_out("text", "spans").alias("__cut"))
+    cut = cut_out("text", "spans").alias("__cut")
+    if not texts_too:
+        cut = cut.dropFields("kept_text").alias("__cut")
+    # a repeated row has one text: its copies are put together again after the cut
+    cut = texts.join(spans, "text_key").select("text_key", cut).groupBy("text_key").agg(F.first("__cut").alias("__cut"))
     text = F.coalesce("text", F.lit(""))
-    whole = F.struct(text.alias("kept_text"), F.octet_length(text).cast("long").alias("n_bytes"),
+    whole = F.struct(*([text.alias("kept_text")] if texts_too else []), F.octet_length(text).cast("long").alias("n_bytes"),
                      F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
                      F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
-    keyed = documents.select("*", key.alias("__key"))
+    kept = [c for c in documents.columns if c != cut_column and (texts_too or c != "text")]
+    keyed = documents.select(*kept, key.alias("__key"), whole.alias("__whole"))
     joined = keyed.join(cut, keyed["__key"] == cut["text_key"], "left")
-    return joined.select(*(documents[c] for c in documents.columns if c != cut_column), F.coalesce("__cut", whole).alias(cut_column))
+    return joined.select(*kept, F.coalesce("__cut", "__whole").alias(cut_column))
 
 
 CUT = T.StructType([
@@ -475,9 +514,9 @@ CUT = T.StructType([
 def cut_out(texts, spans):
     import pandas as pd
 
-    rows = []
+    rows, codec = [], pa.Codec(PACKED)
     for text, own in zip(texts, spans):
-        data = text.encode()
+        data = unpacked(codec, text)
         gone = np.zeros(len(data) + 1, np.int64)
         for span in own:
             gone[span["start"]] += 1
