@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meterflow.llm import (
-    ann, decontam, licenses, neardup, quality, sentencepiece_fst, suffixes, toxicity, urltree,
+    ann, decontam, licenses, neardup, oracle, quality, sentencepiece_fst, suffixes, toxicity, urltree,
     warc,
 )
 from meterflow.llm.common import table
@@ -33,7 +33,9 @@ def importable(build):
 
 
 QUERIES = {"pipeline": importable(corpus_pipeline.run)}
-SQL = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+SQL = {"op2_near_duplicates": oracle.NEAR_DUPLICATES, "op7_suffix_dedup": oracle.SUFFIX_DEDUP}
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def query(build):
