@@ -7,9 +7,10 @@ link needs the full sets to agree. At a similarity s, a pair is missed with a ch
 2 * (1 - s**depth) ** halves: 7e-5 at 0.8 with the values below, far less above it.
 
 Equal sets are one class from the start, so copies never meet pair by pair. In each table the
-members of a bucket are held against its first class, then against its last one; pairs that
-are still in different components afterwards are compared one by one, whatever the bucket's
-size, so no candidate is dropped.
+members of a bucket are held against its first class, then against its last one. All pairs of a
+bucket that are still in different components afterwards are compared, except those that cannot
+be similar: every class carries a bitmap of its shingles, and a bin that only one of two sets
+fills stands for a shingle that the other lacks. The bound is exact, so no candidate is lost.
 
 Defined cases: null and empty texts, or those without words, have an empty set and stand alone;
 a text of fewer words than a shingle is one shingle; repeated rows are copies of each other;
@@ -48,6 +49,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
             yield np.unique(runs)
 
 
+#: Bins of the bitmaps, as 64-bit words.
+BITMAP_WORDS = 32
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    filled = np.zeros(64 * BITMAP_WORDS, bool)
+    filled[(shingles >> np.uint64(32)) % np.uint64(len(filled))] = True
+    return np.packbits(filled).view(np.int64)
+
+
 class Sketcher:
     """Half keys of both collections, and a name of the set itself."""
 
@@ -77,11 +88,12 @@ _RANDOM_FACTORS = _RANDOM.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(
 
 
 def sketches(documents: DataFrame, width: int, halves: int, depth: int) -> DataFrame:
-    """id, text_hash, n_shingles, set, set_check and half keys of each row of (id, text)."""
+    """id, text_hash, n_shingles, set, set_check, half keys and bitmap of each row of (id, text)."""
     kind = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType()),
         T.StructField("n_shingles", T.LongType()), T.StructField("set", T.LongType()),
-        T.StructField("set_check", T.LongType()), T.StructField("half", T.ArrayType(T.LongType()))])
+        T.StructField("set_check", T.LongType()), T.StructField("half", T.ArrayType(T.LongType())),
+        T.StructField("bits", T.ArrayType(T.LongType()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(halves, depth)
@@ -89,14 +101,16 @@ def sketches(documents: DataFrame, width: int, halves: int, depth: int) -> DataF
             data, offsets = text_bytes(batch.column(2))
             rows = batch.num_rows
             sizes, names = np.zeros(rows, np.int64), np.zeros((rows, 2), np.uint64)
-            half = np.zeros((rows, 2 * halves), np.uint64)
+            half, bits = np.zeros((rows, 2 * halves), np.uint64), np.zeros((rows, BITMAP_WORDS), np.int64)
             for i, shingles in enumerate(shingle_sets(data, offsets, width)):
                 if len(shingles):
                     sizes[i], names[i], half[i] = len(shingles), sketcher.name(shingles), sketcher.half_keys(shingles)
+                    bits[i] = bitmap(shingles)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes), pa.array(names[:, 0].view(np.int64)),
                  pa.array(names[:, 1].view(np.int64)),
-                 list_array(half.view(np.int64).ravel(), np.full(rows, 2 * halves), pa.int64())], names=kind.names)
+                 list_array(half.view(np.int64).ravel(), np.full(rows, 2 * halves), pa.int64()),
+                 list_array(bits.ravel(), np.full(rows, BITMAP_WORDS), pa.int64())], names=kind.names)
 
     return documents.select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketch, kind)
 
@@ -114,6 +128,17 @@ def _may_link(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b).cast("long") >= percent * F.greatest(a, b).cast("long")
 
 
+def _bits_allow(size_a: Column, bits_a: list[Column], size_b: Column, bits_b: list[Column], percent: int) -> Column:
+    """Whether bins that only one set fills leave room for a similarity of ``percent``.
+
+    At least so many shingles stand in one set only, so twice the common ones are at most the
+    sum of the sizes less that number.
+    """
+    alone = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits_a, bits_b)), F.lit(0))
+    both = size_a + size_b
+    return (100 + percent) * (both - alone) >= 2 * percent * both
+
+
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
     needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(
@@ -184,7 +209,7 @@ def near_duplicates(
     rows = stored(sketches(documents, width, halves, depth))
     filled = rows.where("n_shingles > 0")
     classes = stored(filled.groupBy("set", "set_check", "n_shingles").agg(
-        F.min("id").alias("rep"), F.first("half").alias("half")))
+        F.min("id").alias("rep"), F.first("half").alias("half"), F.first("bits").alias("bits")))
     linkable = classes.where("rep is not null")
     tables = pair_tables(linkable, halves)
     ends = tables.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high")
@@ -207,10 +232,15 @@ def near_duplicates(
     roots = components(links)
     rest = _with_roots(met.where("set <> low and set <> high").select("key", "set", "size"), roots)
     open_keys = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = stored(rest.join(open_keys, "key"))
-    one, two = rest.toDF("key", "a", "size_a", "root_a"), rest.toDF("key", "b", "size_b", "root_b")
-    left_over = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-                         & _may_link(F.col("size_a"), F.col("size_b"), percent)).select("a", "b").distinct()
+    words = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"w{i}") for i in range(BITMAP_WORDS)]
+    rest = stored(rest.join(open_keys, "key").join(linkable.select("set", "bits"), "set").select(
+        "key", "set", "size", "root", *words))
+    one, two = (rest.toDF("key", *(f"{c}_{side}" for c in rest.columns[1:])) for side in "ab")
+    bits_a, bits_b = ([F.col(f"w{i}_{side}") for i in range(BITMAP_WORDS)] for side in "ab")
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    left_over = one.join(two, (one["key"] == two["key"]) & (F.col("set_a") < F.col("set_b")) & (F.col("root_a") != F.col("root_b"))
+                         & _may_link(size_a, size_b, percent) & _bits_allow(size_a, bits_a, size_b, bits_b, percent)
+                         ).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
     links = links.union(verified(stored(left_over), linkable, documents, width, percent))
     roots = components(stored(links))
     rooted = _with_roots(classes.select("set", "set_check", "n_shingles", "rep"), roots)

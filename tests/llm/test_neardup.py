@@ -2,6 +2,9 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from meterflow.llm import neardup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,6 +62,25 @@ def test_components_match_brute_force(texts):
         check(texts(rows), rows, width)
 
 
+def test_bitmaps_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(1)
+    rows, links = [], []
+    for n in (3, 40, 400, 5000):
+        for share in (0.5, 0.75, 0.8, 0.85, 1.0):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            b[int(n * share):] = rng.integers(0, 2**63, n - int(n * share)).astype(np.uint64)
+            both = len(np.intersect1d(a, b))
+            links.append(100 * both >= 80 * (2 * n - both))
+            rows.append((n, neardup.bitmap(a).tolist(), neardup.bitmap(b).tolist()))
+    df = spark.createDataFrame(rows, "n int, a array<long>, b array<long>")
+    n = F.col("n")
+    words = [[F.col(c)[i] for i in range(neardup.BITMAP_WORDS)] for c in "ab"]
+    allowed = [r[0] for r in df.select(neardup._bits_allow(n, words[0], n, words[1], 80)).collect()]
+    assert all(x or not link for x, link in zip(allowed, links))
+    assert not any(allowed[i] for i in (5, 6, 10))
+
+
 def test_chain_of_links(texts):
     words = [f"x{i}" for i in range(400)]
     rows = [(i, " ".join(words[6 * i:6 * i + 120])) for i in range(40)]
