@@ -92,30 +92,34 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
-    """Weights and, last, the intercept of a ridge logistic regression, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, counts: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights and, last, the intercept of a ridge logistic regression, by Newton steps.
+
+    A row counts ``counts`` times.
+    """
     x = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        move = np.linalg.solve(curvature, x.T @ (p - y) + penalty * w)
+        curvature = (x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        move = np.linalg.solve(curvature, x.T @ (counts * (p - y)) + penalty * w)
         w = w - move / max(1.0, np.abs(move).max() / 5.0)
         if np.abs(move).max() < 1e-7:
             break
     return w
 
 
-def fit_view(x: np.ndarray, y: np.ndarray, ridge: float) -> View:
-    mean, scale = x.mean(0), x.std(0)
+def fit_view(x: np.ndarray, y: np.ndarray, ridge: float, counts: np.ndarray) -> View:
+    mean = np.average(x, 0, counts)
+    scale = np.sqrt(np.average((x - mean) ** 2, 0, counts))
     scale = np.where(scale > 1e-9, scale, 1.0)
-    return View(mean, scale, fit_logistic(np.clip((x - mean) / scale, -8, 8), y, ridge))
+    return View(mean, scale, fit_logistic(np.clip((x - mean) / scale, -8, 8), y, ridge, counts))
 
 
-def calibrated(view: View, x: np.ndarray, y: np.ndarray) -> View:
+def calibrated(view: View, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> View:
     """``view`` with its logits put on the line that fits held-out labels."""
-    slope, offset = fit_logistic(view.logits(x)[:, None], y, 1e-3)
+    slope, offset = fit_logistic(view.logits(x)[:, None], y, 1e-3, counts)
     return View(view.mean, view.scale, view.weights, (float(slope), float(offset)))
 
 
@@ -135,22 +139,26 @@ class Model:
 def cotrain(
     content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool: tuple[np.ndarray, np.ndarray],
     rounds: int = 5, share: float = 0.02, confidence: float = 0.9, ridge: float = 1.0,
+    counts: np.ndarray | None = None,
 ) -> Model:
     """Train both views on labels and on each other's confident pseudo-labels.
 
     Every fourth labelled row is kept for calibration. In each round a view names the rows of
     ``pool`` that it is surest of, at most ``share`` of the pool, in the proportion of the
-    labelled classes and only at ``confidence`` or more; they join the other view's examples.
+    labelled classes and only at ``confidence`` or more; they join the other view's examples. ``counts`` says how many
+    rows a labelled row stands for, on any scale, where classes were sampled at different rates.
     """
+    counts = np.ones(len(y)) if counts is None else counts * (len(y) / max(counts.sum(), 1e-300))
     held = np.arange(len(y)) % 4 == 3
-    train, given = [content[~held], metadata[~held]], y[~held]
+    train, given, times = [content[~held], metadata[~held]], y[~held], counts[~held]
     if len(set(given)) < 2 or len(set(y[held])) < 2:
-        level = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+        ones = (counts * y).sum()
+        level = np.log((ones + 0.5) / (len(y) - ones + 0.5))
         flat = [View(np.zeros(n), np.ones(n), np.append(np.zeros(n), level)) for n in (CONTENT, METADATA)]
         return Model(*flat, np.array([1.0, 0.0, 0.0]))
     names: list[dict[int, float]] = [{}, {}]  # pseudo-labels given to each view
-    views = [fit_view(x, given, ridge) for x in train]
-    good = given.mean()
+    views = [fit_view(x, given, ridge, times) for x in train]
+    good = np.average(given, weights=times)
     for _ in range(rounds if len(pool[0]) else 0):
         added = 0
         for me, other in ((0, 1), (1, 0)):
@@ -166,10 +174,11 @@ def cotrain(
         for me in (0, 1):
             rows = np.fromiter(names[me], int, len(names[me]))
             labels = np.fromiter(names[me].values(), float, len(names[me]))
-            views[me] = fit_view(np.vstack([train[me], pool[me][rows]]), np.append(given, labels), ridge)
-    views = [calibrated(v, x[held], y[held]) for v, x in zip(views, (content, metadata))]
+            views[me] = fit_view(np.vstack([train[me], pool[me][rows]]), np.append(given, labels), ridge,
+                                 np.append(times, np.ones(len(rows))))
+    views = [calibrated(v, x[held], y[held], counts[held]) for v, x in zip(views, (content, metadata))]
     both = np.column_stack([v.logits(x[held]) for v, x in zip(views, (content, metadata))])
-    return Model(*views, fit_logistic(both, y[held], 1e-2))
+    return Model(*views, fit_logistic(both, y[held], 1e-2, counts[held]))
 
 
 def _features(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -185,13 +194,15 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = 8_000, pool_r
 
     ``documents`` has doc_id, text, lang, source and n_chars, ``labels`` doc_id and quality
     (1 good, 0 low). ``fit_rows`` bounds the labelled rows of either class and ``pool_rows``
-    the unlabelled ones that are used, those with the least hash of the id.
+    the unlabelled ones that are used, those with the least hash of the id. Rows of a class count
+    as many times as it has labelled ids for each one used, so scores keep the shares of all labels.
     """
     marks = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy(
         "doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     order = F.xxhash64("doc_id")
     ids = documents.select("doc_id").where("doc_id is not null")
     chosen = marks.join(ids, "doc_id", "left_semi")
+    sizes = {r["quality"]: r["count"] for r in chosen.groupBy("quality").count().collect()}
     free = ids.join(marks, "doc_id", "left_anti")
     picked = [chosen.where("quality = 1").orderBy(order, "doc_id").limit(fit_rows),
               chosen.where("quality = 0").orderBy(order, "doc_id").limit(fit_rows),
@@ -217,7 +228,9 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = 8_000, pool_r
                          zip(found["lang"], found["source"], found["n_chars"])]).reshape(-1, METADATA)
     known = found["quality"].notna().to_numpy()
     y = found["quality"].to_numpy(float, na_value=np.nan)[known]
-    return cotrain(content[known], metadata[known], y, (content[~known], metadata[~known]), **how)
+    stands = [sizes.get(c, 0) / min(max(sizes.get(c, 0), 1), fit_rows) for c in (0, 1)]
+    counts = np.where(y == 1, stands[1], stands[0])
+    return cotrain(content[known], metadata[known], y, (content[~known], metadata[~known]), counts=counts, **how)
 
 
 def quality_column(documents: DataFrame, model: Model) -> Column:

@@ -137,13 +137,13 @@ def _curve(found: np.ndarray, curve: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip((_inputs(found) * curve).sum(1), -30, 30)))
 
 
-def fit_curve(found: np.ndarray, toxic: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple:
-    """Logistic regression of the labels on the two features, by Newton steps."""
+def fit_curve(found: np.ndarray, toxic: np.ndarray, counts: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple:
+    """Logistic regression of the labels on the two features, by Newton steps; a row counts ``counts`` times."""
     x, w = _inputs(found), np.zeros(3)
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - toxic) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), gradient)
+        gradient = x.T @ (counts * (p - toxic)) + ridge * w
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), gradient)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -160,10 +160,13 @@ def learn(
     hash of the id. Terms are words and stems found in ``min_toxic`` toxic rows or more whose
     odds of being toxic exceed the average odds ``min_odds`` times; their weight is the log of
     that ratio. Word pairs around a term that clean rows hold more often than toxic ones do
-    become exception phrases, beside those given.
+    become exception phrases, beside those given. For the curve a row of a class counts as many
+    times as the class has labelled ids for each one used, so scores keep the share of all labels.
     """
     marks = labels.select("id", "toxic").where("id is not null and toxic is not null").groupBy("id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marks = marks.join(texts.select("id"), "id", "left_semi")
+    totals = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     order = F.xxhash64("id")
     chosen = marks.where("toxic = 1").orderBy(order, "id").limit(fit_rows).unionByName(
         marks.where("toxic = 0").orderBy(order, "id").limit(fit_rows))
@@ -171,7 +174,7 @@ def learn(
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad:
-        return Lexicon({}, tuple(exceptions), (0.0, 0.0, math.log(0.5 / (good + 0.5))))
+        return Lexicon({}, tuple(exceptions), (0.0, 0.0, math.log(0.5 / (totals.get(0, 0) + 0.5))))
     odds = ((F.col("bad") + 0.5) / (bad + 1.0)) / ((F.col("good") + 0.5) / (good + 1.0))
     terms = rows.select("toxic", F.explode(_terms("text")).alias("term")).groupBy("term").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
@@ -201,7 +204,10 @@ def learn(
 
     sample = rows.select("text", "toxic").mapInPandas(features, "a double, b double, toxic int").toPandas()
     found, toxic = sample[["a", "b"]].to_numpy(), sample["toxic"].to_numpy(float)
-    return Lexicon(lexicon.weights, lexicon.exceptions, fit_curve(found, toxic))
+    stands = [totals.get(c, 0) / min(max(totals.get(c, 0), 1), fit_rows) for c in (0, 1)]
+    counts = np.where(toxic == 1, stands[1], stands[0])
+    counts *= len(counts) / counts.sum()
+    return Lexicon(lexicon.weights, lexicon.exceptions, fit_curve(found, toxic, counts))
 
 
 def _held(machine: ahocorasick.Automaton, text: str) -> list[str]:

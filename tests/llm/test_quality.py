@@ -72,3 +72,17 @@ def test_one_class_and_empty(spark):
     assert all(r.quality > 0.9 for r in quality.score(docs, quality.learn(docs, ones)).collect())
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.score(empty, quality.learn(empty, ones)).count() == 0
+
+
+def test_class_shares_survive_the_bound_of_fit_rows(spark):
+    rng = random.Random(5)
+    rows, _ = corpus(5, 300)
+    labels = [(i, int(rng.random() < 0.85)) for i in range(300)]  # noise: only the share can be learned
+
+    def means(copies, fit_rows):
+        docs = spark.createDataFrame([(c * 1000 + r[0], *r[1:]) for c in range(copies) for r in rows], SCHEMA)
+        known = spark.createDataFrame([(c * 1000 + i, y) for c in range(copies) for i, y in labels], "doc_id long, quality int")
+        scored = quality.score(docs.where("doc_id < 1000"), quality.learn(docs, known, fit_rows=fit_rows))
+        return np.mean([[r.quality, r.content_score, r.metadata_score] for r in scored.collect()], axis=0)
+
+    assert np.abs(means(1, 8000) - means(10, 300)).max() < 0.05

@@ -65,3 +65,17 @@ def test_no_examples_and_empty(spark):
     lexicon = toxicity.learn(texts, none)
     assert lexicon.weights == {} and [r.score for r in toxicity.score(texts, lexicon).collect()] == [0.5]
     assert toxicity.score(texts.limit(0), lexicon).count() == 0
+
+
+def test_class_shares_survive_the_bound_of_fit_rows(spark):
+    rows, labels = corpus(400)
+    labels = [(i, int(y or i % 8 == 1)) for i, y in labels]  # some toxic rows hold no term
+
+    def scores(copies, fit_rows, min_toxic):
+        texts, known = frames(spark, [(c * 1000 + r[0], *r[1:]) for c in range(copies) for r in rows],
+                              [(c * 1000 + i, y) for c in range(copies) for i, y in labels])
+        lexicon = toxicity.learn(texts, known, fit_rows=fit_rows, min_toxic=min_toxic, min_odds=3.0)
+        return {r.id: r.score for r in toxicity.score(texts.where("id < 1000"), lexicon).collect()}
+
+    whole, cut = scores(1, 8000, 20), scores(10, 600, 80)
+    assert sum(abs(whole[i] - cut[i]) for i in whole) / len(whole) < 0.05
