@@ -2,7 +2,7 @@
 
 Each line of a file is a possible header, the whole text a possible license file. Vectors are
 sparse: a word weighs its count times its inverse document frequency over all scanned texts;
-words of no template have the greatest weight and count in the norm only. Defined cases: null
+words of no template count in the norm only. Defined cases: null
 and empty texts have no license of their own; a null path is the root and inherits from it
 only; ties between templates go to the first name; equal rows get equal results.
 """
@@ -36,9 +36,10 @@ TEMPLATES = (
 )
 
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
-FOUND = T.StructType([
-    T.StructField("license", T.StringType()), T.StructField("score", T.DoubleType()),
-    T.StructField("line", T.StringType()), T.StructField("is_license_file", T.BooleanType())])
+FOUND = T.ArrayType(T.StructType([
+    T.StructField("dot", T.DoubleType()), T.StructField("license", T.StringType()), T.StructField("known", T.DoubleType()),
+    T.StructField("line", T.StringType()), T.StructField("is_file", T.BooleanType()),
+    T.StructField("others", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.IntegerType()))]))
 
 
 def words(text: str) -> list[str]:
@@ -49,7 +50,7 @@ class Matcher:
     """Weights of the template words and the unit vectors of the templates."""
 
     def __init__(self, templates, counts: dict[str, int], texts: int, threshold: float) -> None:
-        self.threshold, self.most = threshold, math.log(texts + 1.0) + 1.0
+        self.threshold = threshold
         vocabulary = {w for _, t in templates for w in words(t)}
         self.weight = {w: math.log((texts + 1.0) / (counts.get(w, 0) + 1.0)) + 1.0 for w in vocabulary}
         self.vectors = []
@@ -63,50 +64,39 @@ class Matcher:
         return any(sum(v * v for w, v in vector.items() if w in present) >= self.threshold**2 - 1e-9
                    for _, vector in self.vectors)
 
-    def best(self, line: list[str]) -> tuple[float, str]:
-        counts = Counter(line)
-        norm = math.sqrt(sum((n * self.weight.get(w, self.most)) ** 2 for w, n in counts.items()))
-        if not norm:
-            return 0.0, ""
-        scores = [(sum(v * counts[w] * self.weight[w] for w, v in vector.items() if w in counts) / norm, name)
-                  for name, vector in self.vectors]
-        return max(scores, key=lambda s: s[0])
-
-    def scan(self, text: str | None) -> tuple[str | None, float, str | None, bool]:
-        """License, cosine, line, and whether the whole text is the statement."""
-        nothing = (None, 0.0, None, False)
-        if not text or not self.reachable({w for w in self.weight if w in text.lower()}):
-            return nothing
-        best = nothing
-        for line in text.splitlines():
-            listed = words(line)
-            if self.reachable(set(listed)):
-                score, name = self.best(listed)
-                if score >= self.threshold and score > best[1]:
-                    best = (name, score, line.strip(), False)
-        score, name = self.best(words(text))
-        return (name, score, best[2] or text.strip(), True) if score >= self.threshold else best
-
-
-def word_counts(texts: DataFrame, templates) -> tuple[dict[str, int], int]:
-    """In how many of ``texts`` each template word stands, and how many texts there are."""
-    vocabulary = sorted({w for _, t in templates for w in words(t)})
-    kind = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.LongType())])
+    def candidates(self, text: str | None) -> list[dict]:
+        """Lines, and last the whole text, that may reach the threshold, with their best template.
 
+        Words of no template weigh 1 at least, which bounds the cosine from above; ``others``
+        and ``times`` name them for their true weights.
+        """
+        if not text or not self.reachable({w for w in self.weight if w in text.lower()}):
+            return []
+        found = []
+        for line in [*dict.fromkeys(text.splitlines()), None]:
+            counts = Counter(words(text if line is None else line))
+            if not self.reachable(set(counts)):
+                continue
+            dot, name = max(((sum(v * counts[w] * self.weight[w] for w, v in vector.items() if w in counts), name)
+                             for name, vector in self.vectors), key=lambda s: s[0])
+            known = sum((n * self.weight[w]) ** 2 for w, n in counts.items() if w in self.weight)
+            others = {w: n for w, n in counts.items() if w not in self.weight}
+            if dot >= self.threshold * math.sqrt(known + sum(n * n for n in others.values())) - 1e-9:
+                found.append({"dot": dot, "license": name, "known": known, "line": (text if line is None else line).strip(),
+                              "is_file": line is None, "others": list(others), "times": list(others.values())})
+        return found
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """In how many of ``texts`` each word stands; the row of the empty word has the number of texts."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, total = Counter(), 0
         for batch in batches:
-            total += len(batch)
+            found = Counter({"": len(batch)})
             for text in batch["text"]:
-                low = (text or "").lower()
-                present = [w for w in vocabulary if w in low]
-                if present:
-                    listed = set(_WORD.findall(low))
-                    found.update(w for w in present if w in listed)
-        yield pd.DataFrame([(i, found[w]) for i, w in enumerate(vocabulary)] + [(-1, total)], columns=kind.names)
+                found.update(set(words(text or "")))
+            yield pd.DataFrame({"word": list(found), "texts": list(found.values())})
 
-    sums = {r["at"]: r["n"] for r in texts.mapInPandas(count, kind).groupBy("at").agg(F.sum("n").alias("n")).collect()}
-    return {w: sums.get(i, 0) for i, w in enumerate(vocabulary)}, sums.get(-1, 0)
+    return texts.select("text").mapInPandas(count, "word string, texts long").groupBy("word").agg(F.sum("texts").alias("texts"))
 
 
 def scan(
@@ -114,29 +104,49 @@ def scan(
 ) -> DataFrame:
     """License of each file: ``files`` has id, path and text.
 
-    A file has the license of its best line or of its whole text, if the cosine is
+    A file has the license of its best line or of its whole text, whichever is closer, if the cosine is
     ``threshold`` or more. A file whose whole text matches, or that has a match and one of
     ``license_names`` as its name less the ending, speaks for its directory; files without a
     license of their own take that of the nearest directory above that has one (the best
-    score, then the first name, where a directory has several). Gives id, path, license,
+    score, of the whole text where that matches, then the first name, where a directory has several). Gives id, path, license,
     score, line, and origin: own, inherited or null.
     """
     texts = files.select(F.col("id").alias("id"), F.coalesce("path", F.lit("")).alias("path"), F.col("text").alias("text"))
-    counts, total = word_counts(texts.select("text"), templates)
-    matcher = texts.sparkSession.sparkContext.broadcast(Matcher(templates, counts, total, threshold))
+    counts = stored(word_counts(texts))
+    vocabulary = {w for _, t in templates for w in words(t)}
+    seen = {r["word"]: r["texts"] for r in counts.where(F.col("word").isin("", *sorted(vocabulary))).collect()}
+    total = seen.pop("", 0)
+    matcher = texts.sparkSession.sparkContext.broadcast(Matcher(templates, seen, total, threshold))
 
     @F.pandas_udf(FOUND)
-    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.DataFrame([matcher.value.scan(t) for t in batch], columns=FOUND.names)
+            yield pd.Series([matcher.value.candidates(t) for t in batch], dtype=object)
 
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     name = F.lower(F.regexp_extract("path", "([^/.]*)[^/]*$", 1))
-    own = stored(texts.select("id", "path", folder.alias("folder"), name.alias("name"), scanned("text").alias("f")).select(
-        "id", "path", "folder", "name", "f.*"))
+    files = stored(texts.select(F.monotonically_increasing_id().alias("key"), "id", "path", folder.alias("folder"),
+                                name.alias("name"), scanned("text").alias("c")))
+    lines = files.select("key", F.posexplode("c").alias("at", "c")).select("key", "at", "c.*")
+    others = lines.select("key", "at", F.explode(F.arrays_zip("others", "times")).alias("o")).select(
+        "key", "at", F.col("o.others").alias("word"), F.col("o.times").alias("n"))
+    weight = F.log(F.lit(total + 1.0) / (F.col("texts") + 1.0)) + 1.0
+    # summed in order of size, so that equal lines get equal norms
+    norms = others.join(counts, "word").groupBy("key", "at").agg(F.aggregate(
+        F.sort_array(F.collect_list(F.pow(F.col("n") * weight, F.lit(2.0)))), F.lit(0.0), lambda a, b: a + b).alias("rest"))
+    score = F.col("dot") / F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0)))
+    best = lines.join(norms, ["key", "at"], "left").withColumn("score", score).where(F.col("score") >= threshold).groupBy("key").agg(
+        F.min(F.when(~F.col("is_file"), F.struct(-F.col("score"), "at", "license", "line"))).alias("l"),
+        F.min(F.when(F.col("is_file"), F.struct("score", "license", "line"))).alias("f"))
+    whole, line = F.coalesce("f.score", F.lit(0.0)), F.coalesce(-F.col("l.col1"), F.lit(0.0))
+    own = stored(files.drop("c").join(best, "key", "left").select(
+        "id", "path", "folder", "name", F.when(whole >= line, F.col("f.license")).otherwise(F.col("l.license")).alias("license"),
+        F.greatest(whole, line).alias("score"), F.coalesce("l.line", "f.line").alias("line"),
+        F.struct(F.when(F.col("f").isNotNull(), whole).otherwise(line).alias("score"),
+                 F.coalesce("f.license", "l.license").alias("license")).alias("voice"), F.col("f").isNotNull().alias("is_license_file")))
     speaks = (F.col("is_license_file") | F.col("name").isin(*license_names)) & F.col("license").isNotNull()
     spoken = own.where(speaks).groupBy("folder").agg(
-        F.min(F.struct(-F.col("score"), "license")).alias("best")).select(
+        F.min(F.struct(-F.col("voice.score"), F.col("voice.license").alias("license"))).alias("best")).select(
             F.col("folder").alias("above"), F.col("best.license").alias("given"), F.lit(True).alias("known"))
     # each directory and those above it: one row per directory, not per file
     parts = F.split("folder", "/")

@@ -49,3 +49,25 @@ def test_edges(spark):
     got = scanned(spark, rows)
     assert (got[1].origin, got[2].origin, got[None].license) == ("own", "own", "MIT")
     assert scanned(spark, []) == {}
+
+
+def test_words_of_no_template_weigh_by_all_texts(spark):
+    lines = ["This file is licensed under the Apache License, Version 2.0.", "Licensed under CC BY 4.0. zyzzyva quokka axolotl numbat",
+             "file Released under the MIT License. file"]
+    rows = [(i, f"d{i}/f.txt", f"head\n{line}\ntail") for i, line in enumerate(lines)]
+    rows += [(10 + i, "e/f.txt", "this file says nothing" if i % 2 else "calm") for i in range(200)]
+    got = scanned(spark, rows)
+    counts = Counter(w for _, _, t in rows for w in set(licenses.words(t)))
+
+    def vector(text):
+        return {w: n * (math.log((len(rows) + 1) / (counts[w] + 1)) + 1) for w, n in Counter(licenses.words(text)).items()}
+
+    def full(a, b):
+        a, b = vector(a), vector(b)
+        return sum(v * b.get(w, 0) for w, v in a.items()) / math.prod(math.sqrt(sum(v * v for v in x.values())) for x in (a, b))
+
+    for i, line in enumerate(lines):
+        score, name = max((full(line, t), n) for n, t in licenses.TEMPLATES)
+        assert (got[i].license, got[i].line) == ((name, line) if score >= 0.8 else (None, None))
+        assert abs(got[i].score - (score if score >= 0.8 else 0.0)) < 1e-9
+    assert got[0].license == "Apache-2.0" and got[1].license is None
