@@ -6,13 +6,13 @@ import os
 from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meterflow.llm import (
-    ann, decontam, licenses, neardup, oracle, quality, sentencepiece_fst, suffixes, toxicity, urltree,
-    warc,
+    ann, decontam, licenses, merkle, neardup, oracle, quality, sentencepiece_fst, suffixes, toxicity,
+    urltree, warc,
 )
 from meterflow.llm.common import table
 
@@ -33,7 +33,11 @@ def importable(build):
 
 
 QUERIES = {"pipeline": importable(corpus_pipeline.run)}
-SQL = {"op2_near_duplicates": oracle.NEAR_DUPLICATES, "op7_suffix_dedup": oracle.SUFFIX_DEDUP}
+SQL = {
+    "op2_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op7_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op12_merkle_manifest": oracle.MERKLE,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
@@ -141,3 +145,18 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     files = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")
     return licenses.scan(files).withColumnRenamed("id", "doc_id")
+
+
+def crc_of(column: str) -> Column:
+    """Unsigned CRC-32 of a number in decimal."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest tree of all documents by source, every row's proof, and what tampering does to it."""
+    rows = merkle.manifest(
+        table(spark, folder, "documents"), where=crc_of("doc_id") % 2 == 0,
+        tampered={"text": F.replace("text", F.lit("\n"), F.lit(""))})
+    return merkle.proofs(rows).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
