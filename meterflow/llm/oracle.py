@@ -102,3 +102,36 @@ f AS (
       lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root
   FROM l JOIN tops USING (g) LEFT JOIN p USING (g, i))
 SELECT *, folded_root = root AS verified FROM f"""
+
+CONVERSATION_TRIE = f"""
+WITH h AS (SELECT conv_id, {crc32("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (
+  SELECT conv_id, h, COALESCE(role, '') AS r, COALESCE(text, '') AS x,
+    ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations JOIN h USING (conv_id)),
+parts AS (
+  SELECT h.conv_id, 0 AS part, pos, r, x FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 AND t.pos <= h.h
+  UNION ALL SELECT conv_id, 1, pos, r, x FROM t WHERE pos > h),
+v AS (
+  SELECT conv_id, x, ROW_NUMBER() OVER w AS depth, COUNT(*) OVER (PARTITION BY conv_id) AS n,
+    sha256(string_agg(octet_length(encode(r)) || ':' || r || octet_length(encode(x)) || ':' || x, '') OVER w) AS k
+  FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+u AS (
+  SELECT conv_id, depth, n, k, x FROM v
+  UNION ALL SELECT conv_id, 0, COUNT(v.conv_id), '', '' FROM h LEFT JOIN v USING (conv_id) GROUP BY conv_id),
+w AS (SELECT *, LAG(k) OVER (PARTITION BY conv_id ORDER BY depth) AS p FROM u),
+nodes AS (
+  SELECT k, MIN(conv_id) AS conv_id, MIN(depth) AS depth, MIN(p) AS p, COUNT(*) AS n_convs,
+    octet_length(encode(MIN(x))) AS size, sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+      FILTER (n = depth), '')) AS ends_sha256
+  FROM w GROUP BY k),
+kids AS (SELECT p AS k, COUNT(*) AS n_children FROM nodes WHERE p IS NOT NULL GROUP BY p),
+own AS (
+  SELECT nodes.*, COALESCE(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * size ELSE 0 END AS saved
+  FROM nodes LEFT JOIN kids USING (k)),
+below AS (
+  SELECT u.k, SUM(CAST(n_children = 0 AS BIGINT)) AS n_leaves, SUM(saved) AS saved_tokens
+  FROM own JOIN u ON u.conv_id = own.conv_id AND u.depth <= own.depth GROUP BY u.k)
+SELECT own.conv_id, CAST(own.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN below USING (k) LEFT JOIN nodes up ON up.k = own.p"""

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meterflow.llm import (
-    ann, decontam, licenses, merkle, neardup, oracle, quality, sentencepiece_fst, suffixes, toxicity,
-    urltree, warc,
+    ann, convtrie, decontam, licenses, merkle, neardup, oracle, quality, sentencepiece_fst, suffixes,
+    toxicity, urltree, warc,
 )
 from meterflow.llm.common import table
 
@@ -37,6 +37,7 @@ SQL = {
     "op2_near_duplicates": oracle.NEAR_DUPLICATES,
     "op7_suffix_dedup": oracle.SUFFIX_DEDUP,
     "op12_merkle_manifest": oracle.MERKLE,
+    "op13_conversation_trie": oracle.CONVERSATION_TRIE,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
@@ -160,3 +161,10 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         tampered={"text": F.replace("text", F.lit("\n"), F.lit(""))})
     return merkle.proofs(rows).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefix trie of the conversations, each forked from the first of its five."""
+    turns = convtrie.numbered(table(spark, folder, "conversations"))
+    return convtrie.trie(*convtrie.forked(turns, F.expr("conv_id - conv_id % 5"), crc_of("conv_id") % 9, most_shared=8))
