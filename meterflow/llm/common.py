@@ -116,8 +116,9 @@ def steps(offsets: np.ndarray):
         row = stop
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each lower-cased word, and the number of the first word of each text.
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes of some texts, where each word in them begins and ends, and the number of
+    the first word of each text.
 
     Words are runs of other bytes than white space; A-Z are lower-cased, nothing else is.
     """
@@ -132,8 +133,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = inside[:-1] & ~inside[1:]
     ends[offsets[1:][offsets[:-1] < offsets[1:]] - 1] = inside[offsets[1:][offsets[:-1] < offsets[1:]] - 1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = window_hashes(prefix_hashes(data), start, stop)
-    return hashes, np.searchsorted(start, offsets)
+    return data, start, stop, np.searchsorted(start, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each lower-cased word, and the number of the first word of each text."""
+    data, start, stop, first = word_spans(data, offsets)
+    return window_hashes(prefix_hashes(data), start, stop), first
 
 
 def list_array(flat, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meterflow.llm import (
-    ann, convtrie, decontam, licenses, merkle, neardup, oracle, quality, sentencepiece_fst, suffixes,
-    toxicity, urltree, warc,
+    ann, classlm, convtrie, decontam, licenses, merkle, neardup, oracle, quality, sentencepiece_fst,
+    suffixes, toxicity, urltree, warc,
 )
 from meterflow.llm.common import table
 
@@ -153,6 +153,17 @@ def crc_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+@query
+def op11_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document; rows with crc32 of the id 2 modulo 7 teach nothing."""
+    held_out = F.coalesce(crc_of("doc_id") % 7 == 2, F.lit(False))
+    documents = table(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model = classlm.learn(documents.select("text", (~F.col("held_out")).alias("learns")))
+    scored = classlm.score(documents, model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                         "base_score", "score", classlm.perplexity().alias("perplexity"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Digest tree of all documents by source, every row's proof, and what tampering does to it."""
