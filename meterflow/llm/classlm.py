@@ -18,7 +18,7 @@ word counts one more than it does, and one more word stands for all unseen ones.
 Rules for odd rows: a null text is empty and has the end token alone; a text as long as you like is one
 row, worked on in blocks; repeated rows count and are scored each. Without training rows every word is
 unseen. Empty tables give no rows. Words are told apart by a 64-bit hash. Other columns are handed on as
-asked, whatever their names, except ``n_tokens``, ``n_known``, ``base_score`` and ``score``.
+asked, whatever their names; one named like a result stands beside it.
 """
 
 from __future__ import annotations
@@ -190,7 +190,8 @@ def gains(matrix: np.ndarray, before: np.ndarray, after: np.ndarray, itself: flo
     rest[own] -= right
     rest[:, own] -= left
     rest[own, own] -= itself
-    rows, columns = rest.sum(1), rest.sum(0)
+    # what stands before the unit is still followed, whatever class the unit is in
+    rows, columns = rest.sum(1) + left, rest.sum(0) + right
     kept = _xlogx(rest)
     row = _xlogx(rest + right[None, :]) - kept
     column = _xlogx(rest + left[:, None]) - kept
@@ -342,7 +343,7 @@ def learn(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS, most_
                  table, trace)
 
 
-def _scorer(parts: Parts, keep: Sequence[str]):
+def _scorer(parts: Parts):
     units = parts.units
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,14 +367,14 @@ def _scorer(parts: Parts, keep: Sequence[str]):
             at = np.flatnonzero(fresh)
             times = np.diff(np.append(at, len(order)))
             sizes = np.bincount(rare_text[at], minlength=n_texts)
-            columns = [batch.column(batch.schema.get_field_index(c)).slice(row, n_texts) for c in keep]
-            columns += [
+            columns = [
+                batch.column(batch.schema.get_field_index("kept")).slice(row, n_texts),
                 pa.array((n_words + 1).astype(np.int64)),
                 pa.array(known.astype(np.int64) + int(parts.end_known)),
                 pa.array(heads + parts.end_count - (n_words + 1) * parts.base_width),
                 pa.array(heads - widths + moves),
                 list_array(rare_hash[at], sizes, pa.int64()), list_array(times, sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+            yield pa.RecordBatch.from_arrays(columns, ["kept", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
 
     return score
 
@@ -381,20 +382,19 @@ def _scorer(parts: Parts, keep: Sequence[str]):
 def score(docs: DataFrame, model: Model, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns of every row of ``docs`` with tokens, known tokens and log10 probability of its
     ``text`` by counts of single words (``base_score``) and by the model (``score``)."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema += ", n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
-    inner = docs.select(*keep, *(() if "text" in keep else ("text",)))
+    inner = docs.select(F.struct(*keep).alias("kept"), "text")
+    schema = (f"kept {inner.schema['kept'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, "
+              "score double, rare array<long>, times array<long>")
     # row numbers are stored with the rows, so that a task that runs again sees the same ones
-    fixed = stored(inner.mapInArrow(_scorer(model.parts(), keep), schema).withColumn(
-        "row__", F.monotonically_increasing_id()))
-    rare = fixed.select("row__", F.explode(F.arrays_zip("rare", "times")).alias("e")).select(
-        "row__", F.col("e.rare").alias("hash"), F.col("e.times").alias("times"))
+    fixed = stored(inner.mapInArrow(_scorer(model.parts()), schema).withColumn("row", F.monotonically_increasing_id()))
+    rare = fixed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select(
+        "row", F.col("e.rare").alias("hash"), F.col("e.times").alias("times"))
     seen = model.words.where("seen > 0").select("hash", "seen")
-    found = rare.join(seen, "hash").groupBy("row__").agg(
-        F.sum(F.col("times") * F.log10(F.col("seen") + 1)).alias("more__"), F.sum("times").alias("known__"))
-    out = fixed.drop("rare", "times").join(found, "row__", "left")
-    more, known = F.coalesce("more__", F.lit(0.0)), F.coalesce("known__", F.lit(0))
-    return out.select(*(F.col(c) for c in keep), "n_tokens", (F.col("n_known") + known).alias("n_known"),
+    found = rare.join(seen, "hash").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("seen") + 1)).alias("more"), F.sum("times").alias("known"))
+    out = fixed.drop("rare", "times").join(found, "row", "left")
+    more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
+    return out.select("kept.*", "n_tokens", (F.col("n_known") + known).alias("n_known"),
                       (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
 
 
