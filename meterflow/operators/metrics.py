@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.operators.series import Series
+from meterflow.operators import selection
+from meterflow.session import stored
 
 METRICS = ("MSE", "RMSE", "MAE", "MAPE", "MAPE_abs1", "MAPE_clipped", "R2", "RMSLE")
 
@@ -58,51 +59,15 @@ def clamped(column: str = "y_pred") -> Column:
     return F.greatest(F.col(column), F.lit(0.0))
 
 
-def quantiles(
-    df: DataFrame,
-    by: str,
-    value: str,
-    tie: str,
-    probabilities: Sequence[float],
-    names: Sequence[str],
-    rows_per_chunk: int | None = None,
-) -> DataFrame:
-    """Exact interpolated quantiles per group.
+def error_boxes(df: DataFrame, by: str = "model", rows_per_chunk: int | None = None) -> DataFrame:
+    """Box-plot numbers of the absolute error: quartiles and whiskers inside 1.5 IQR.
 
-    ``percentile`` would hold every value of a group in one task. Here the values are ranked
-    by a sort that splits large groups, and only the ranks next to each quantile are kept.
+    The errors are written once; quartiles are found by counting them, whiskers in one more pass.
+    No more than ``rows_per_chunk`` rows are ever counted value by value.
     """
-    slim = df.select(by, value, tie)
-    layout = Series((by,), (value, tie), rows_per_chunk).measure(slim, few=True)
-    sizes = layout.sizes
-    if sizes is None:
-        sizes = slim.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumnRenamed(by, "_of")
-    ranked = layout.positions(slim)
-    ranked = ranked.join(sizes, ranked[by].eqNullSafe(sizes["_of"])).drop("_of")
-    place = {p: (F.col("n") - 1) * F.lit(float(p)) + 1 for p in probabilities}
-    wanted = F.lit(False)
-    for at in place.values():
-        wanted = wanted | F.col("_pos").isin(F.floor(at), F.ceil(at))
-
-    def quantile(at: Column) -> Column:
-        low = F.max(F.when(F.col("_pos") == F.floor(at), F.col(value)))
-        high = F.max(F.when(F.col("_pos") == F.ceil(at), F.col(value)))
-        return low + (high - low) * F.max(at - F.floor(at))
-
-    return ranked.where(wanted).groupBy(by).agg(
-        *[quantile(place[p]).alias(name) for p, name in zip(probabilities, names)]
-    )
-
-
-def error_boxes(
-    df: DataFrame, by: str = "model", tie: str = "row_id", rows_per_chunk: int | None = None
-) -> DataFrame:
-    """Box-plot numbers of the absolute error: quartiles and whiskers inside 1.5 IQR."""
-    errors = df.select(by, tie, F.abs(F.col("y_true") - F.col("y_pred")).alias("abs_error"))
-    boxes = quantiles(
-        errors, by, "abs_error", tie, (0.25, 0.5, 0.75), ("q1", "median", "q3"), rows_per_chunk
-    )
+    errors = stored(df.select(by, F.abs(F.col("y_true") - F.col("y_pred")).alias("abs_error")))
+    boxes = selection.quantiles(errors, [by], "abs_error", {"q1": 0.25, "median": 0.5, "q3": 0.75},
+                                rows_per_chunk or selection.FEW)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     error = F.col("abs_error")
     inside = error.between(F.col("q1") - reach, F.col("q3") + reach)

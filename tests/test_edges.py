@@ -2,7 +2,7 @@
 
 import math
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -365,3 +365,31 @@ def test_defaults_and_column_choice(spark):
     out = reports.with_defaults(df, {"train_time_min": 0.0, "Epochs": 0}, ["Model"])
     assert out.columns == ["Model", "train_time_min", "Epochs"]
     assert reports.columns_like(df, ["time", "epoch"], ["Model"]).columns == ["Model", "train_time_min"]
+
+
+def test_resample_lattice_equals_single_jobs(spark):
+    """Wider buckets merged from narrow ones: uneven widths, NaN, infinity, nulls, integers, keys."""
+    draw = random.Random(8)
+    rows = [(datetime(2016, 1, 1, 5) + timedelta(seconds=draw.randrange(400_000)), draw.choice(["a", "b", None]),
+             draw.choice([draw.random(), 1e300, None, float("nan"), float("inf"), -1e-9]), draw.randrange(2**62))
+            for _ in range(800)]
+    df = spark.createDataFrame(rows, "timestamp timestamp, k string, P double, N long").repartition(3)
+    jobs = resample.make_jobs(["7T", "5T", "1h", "1D", "9h"], include_max=True)
+    both = resample.resample_all(df, jobs, ["P", "N"], keys=["k"])
+    for job in jobs:
+        one = resample.resample(df, job, ["P", "N"], keys=["k"])
+        want = {(r.k, r.timestamp): (r.P, float(r.N)) for r in one.collect()}
+        got = {(r.k, r.timestamp): (r.P, r.N) for r in both.where(
+            (F.col("interval") == job.interval) & (F.col("aggregation") == job.aggregation)).collect()}
+        assert got.keys() == want.keys()
+        for key, values in want.items():
+            assert got[key] == pytest.approx(values, rel=1e-12, nan_ok=True)
+
+
+def test_means_do_not_depend_on_the_lattice(spark):
+    draw = random.Random(9)
+    values = [draw.uniform(0, 1) / 460 for _ in range(5000)]
+    df = spark.createDataFrame([(datetime(2016, 1, 1) + timedelta(seconds=i), v) for i, v in enumerate(values)],
+                               "timestamp timestamp, P double").repartition(7)
+    day = resample.resample_all(df, resample.make_jobs(["1T", "1D"]), ["P"]).where("interval = '1D'").first()
+    assert day.P == math.fsum(values) / len(values)

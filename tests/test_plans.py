@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry  # noqa: E402
 from catalog.views import Views  # noqa: E402
-from meterflow.operators import reports, splits, windows  # noqa: E402
+from meterflow.operators import metrics, reports, resample, splits, windows  # noqa: E402
 from meterflow.operators.series import Series  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.01"
@@ -69,3 +69,18 @@ def test_first_rows_are_limited_before_the_shuffle(spark):
     ids = v.buildings()
     layout = Series(["primary_use"], ("building_id", "building_id")).measure(ids)
     assert "WindowGroupLimit" in plan_of(layout.first(ids, 5))
+
+
+def test_resample_copies_partial_results_not_rows(spark):
+    v = Views(spark, FOLDER)
+    jobs = resample.make_jobs(["1T", "1h", "1D"], include_max=True)
+    plan = plan_of(resample.resample_all(v.household(), jobs, ("P", "Q")))
+    rows, partials = plan.rindex("FileScan"), [m.start() for m in re.finditer("Generate explode", plan)]
+    last = plan.rindex("Exchange hashpartitioning", 0, rows)
+    assert partials and all(at < last for at in partials)  # nothing is copied between the scan and its shuffle
+
+
+def test_error_boxes_neither_sort_nor_move_rows(spark):
+    v = Views(spark, FOLDER)
+    plan = plan_of(metrics.error_boxes(v.predictions()))
+    assert "Sort [abs_error" not in plan and "row_number" not in plan
