@@ -116,11 +116,12 @@ def sketches(documents: DataFrame, width: int, halves: int, depth: int) -> DataF
 
 
 def pair_tables(classes: DataFrame, halves: int) -> DataFrame:
-    """A row (key, set, size) for each class and table: a half key of either collection each."""
+    """A row (key, i, j, set, size) for each class and table: a half key of either collection each."""
     left = classes.select("set", "n_shingles", F.slice("half", halves + 1, halves).alias("right"),
                           F.posexplode(F.slice("half", 1, halves)).alias("i", "a"))
     both = left.select("set", "n_shingles", "i", "a", F.posexplode("right").alias("j", "b"))
-    return both.select(F.xxhash64("i", "a", "j", "b").alias("key"), "set", F.col("n_shingles").cast("int").alias("size"))
+    return both.select(F.xxhash64("i", "a", "j", "b").alias("key"), F.col("i").cast("byte").alias("i"),
+                       F.col("j").cast("byte").alias("j"), "set", F.col("n_shingles").cast("int").alias("size"))
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
@@ -139,6 +140,18 @@ def _bits_allow(size_a: Column, bits_a: list[Column], size_b: Column, bits_b: li
     return (100 + percent) * (both - alone) >= 2 * percent * both
 
 
+def _first_shared(number: Column, start: int, halves: int) -> Column:
+    """Whether ``number`` is the first half key of a collection that both sides have in common.
+
+    A pair shares many tables but is made in the first of them alone. That is in ``rest`` as well:
+    where a class is the first or last of a bucket, the pair has been compared already.
+    """
+    first = F.lit(-1)
+    for k in reversed(range(halves)):
+        first = F.when(F.col(f"h{start + k}_a") == F.col(f"h{start + k}_b"), k).otherwise(first)
+    return number == first
+
+
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
     needed = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(
@@ -214,7 +227,7 @@ def near_duplicates(
     tables = pair_tables(linkable, halves)
     ends = tables.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high")
     # members of the buckets with several classes
-    met = stored(tables.join(ends, "key").select("key", "set", "size", "low", "high"))
+    met = stored(tables.join(ends, "key").select("key", "i", "j", "set", "size", "low", "high"))
     sizes = classes.select("set", F.col("n_shingles").alias("size"))
 
     def sized(pairs: DataFrame) -> DataFrame:
@@ -230,16 +243,18 @@ def near_duplicates(
             F.least("set", "high").alias("a"), F.greatest("set", "high").alias("b")).distinct()
     links = stored(links.union(verified(stored(sized(last)), linkable, documents, width, percent)))
     roots = components(links)
-    rest = _with_roots(met.where("set <> low and set <> high").select("key", "set", "size"), roots)
+    rest = _with_roots(met.where("set <> low and set <> high").select("key", "i", "j", "set", "size"), roots)
     open_keys = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     words = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"w{i}") for i in range(BITMAP_WORDS)]
-    rest = stored(rest.join(open_keys, "key").join(linkable.select("set", "bits"), "set").select(
-        "key", "set", "size", "root", *words))
+    keys = [F.get("half", F.lit(k)).alias(f"h{k}") for k in range(2 * halves)]
+    rest = stored(rest.join(open_keys, "key").join(linkable.select("set", "bits", "half"), "set").select(
+        "key", "i", "j", "set", "size", "root", *words, *keys))
     one, two = (rest.toDF("key", *(f"{c}_{side}" for c in rest.columns[1:])) for side in "ab")
     bits_a, bits_b = ([F.col(f"w{i}_{side}") for i in range(BITMAP_WORDS)] for side in "ab")
     size_a, size_b = F.col("size_a"), F.col("size_b")
     left_over = one.join(two, (one["key"] == two["key"]) & (F.col("set_a") < F.col("set_b")) & (F.col("root_a") != F.col("root_b"))
-                         & _may_link(size_a, size_b, percent) & _bits_allow(size_a, bits_a, size_b, bits_b, percent)
+                         & _may_link(size_a, size_b, percent) & _first_shared(one["i_a"], 0, halves) & _first_shared(one["j_a"], halves, halves)
+                         & _bits_allow(size_a, bits_a, size_b, bits_b, percent)
                          ).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
     links = links.union(verified(stored(left_over), linkable, documents, width, percent))
     roots = components(stored(links))

@@ -500,9 +500,10 @@ def remove_repeats(documents: DataFrame, length: int = 200, id_column: str = "id
                      F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
                      F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
     kept = [c for c in documents.columns if c != cut_column and (texts_too or c != "text")]
-    keyed = documents.select(*kept, key.alias("__key"), whole.alias("__whole"))
-    joined = keyed.join(cut, keyed["__key"] == cut["text_key"], "left")
-    return joined.select(*kept, F.coalesce("__cut", "__whole").alias(cut_column))
+    # the caller's columns travel in a struct, so that no name of theirs meets one of these
+    keyed = documents.select(F.struct(*kept).alias("row"), key.alias("text_key"), whole.alias("whole"))
+    joined = keyed.join(cut, "text_key", "left")
+    return joined.select("row.*", F.coalesce("__cut", "whole").alias(cut_column))
 
 
 CUT = T.StructType([
