@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterflow.functions.calendar import hour_start
@@ -42,9 +42,35 @@ def members_of(df: DataFrame, ids: DataFrame, key: str = "building_id") -> DataF
 def positional_join(
     left: DataFrame, left_layout: Layout, right: DataFrame, right_layout: Layout, offset: int = 0
 ) -> DataFrame:
-    """Pair row ``i`` of ``left`` with row ``i + offset`` of ``right``, both in series order."""
-    shifted = right_layout.positions(right, "_at").withColumn("_at", F.col("_at") - offset)
-    return left_layout.positions(left, "_at").join(shifted, "_at").drop("_at")
+    """Pair row ``i`` of ``left`` with row ``i + offset`` of ``right``, both in series order.
+
+    The runs of the left table are the tasks; each gets the slice of the right table that has its
+    places, by bins whose first place is known, so every row is shuffled once (rows of a bin on a
+    border twice). Inside a run both sides are numbered and a row meets the one that sorts next to
+    it; nothing is joined on a row number. Both tables are single series. Columns of the left table
+    come first; names that both have appear twice.
+    """
+    ranges = left_layout.ranges()
+    sides = (
+        (left, left_layout, ranges, 0, "_l"),
+        (right, right_layout, [(n, lo + offset, hi + offset) for n, lo, hi in ranges], offset, "_r"),
+    )
+    frames = []
+    for i, (table, layout, slices, shift, name) in enumerate(sides):
+        order = [F.col(c).alias(f"{name}{k}") for k, c in enumerate(layout.series.order)]
+        own = table.select(F.struct(*table.columns).alias(name), *order)
+        # the layout finds its order columns under their names, the rest travels in one struct
+        keyed = own.withColumnsRenamed({f"{name}{k}": c for k, c in enumerate(dict.fromkeys(layout.series.order))})
+        dealt = layout.dealt(keyed, slices)
+        frames.append(dealt.select(
+            name, "_run", (F.col("_before") - shift).alias("_before"), F.lit(i).alias("_side"),
+            *(F.col(c).alias(f"{name}{k}") for k, c in enumerate(layout.series.order))))
+    both = frames[0].unionByName(frames[1], allowMissingColumns=True).repartition("_run")
+    inside = Window.partitionBy("_run", "_side").orderBy("_l0", "_l1", "_r0", "_r1")
+    both = both.withColumn("_at", F.col("_before") + F.row_number().over(inside)).select("_run", "_side", "_at", "_l", "_r")
+    along = Window.partitionBy("_run").orderBy("_at", "_side")
+    paired = both.withColumns({"_l": F.lag("_l").over(along), "_same": F.lag("_at").over(along) == F.col("_at")})
+    return paired.where("_same AND _side = 1").select("_l.*", "_r.*")
 
 
 def vector_distances(

@@ -432,6 +432,39 @@ class Layout:
         )
 
 
+    def ranges(self) -> list[tuple[int, int, int]]:
+        """Runs of a table that is one single series: number, first place (from 0) and end."""
+        if self.series.keys:
+            raise ValueError("ranges of places need a series without keys")
+        return [(run.id, run.start, run.end) for run in self.runs] or [(0, 0, self.total)]
+
+    def dealt(self, df: DataFrame, ranges: Sequence[tuple[int, int, int]]) -> DataFrame:
+        """Rows of a single series dealt to ranges of places (number, start, end), in order.
+
+        A row goes to every range that its bin reaches: to one, or at a border to both sides of it.
+        ``_run`` is the range, ``_before`` the rows of the series before the first one dealt to it.
+        Rows of bins that no range reaches are left out.
+        """
+        if self.series.keys:
+            raise ValueError("ranges of places need a series without keys")
+        bins = [span for run in self.runs for span in run.spans()] or [(None, 0, self.total)]
+        reached, first = [], 0
+        for number, start, end in ranges:
+            while first < len(bins) and bins[first][1] + bins[first][2] <= start:
+                first += 1
+            at, before = first, None
+            while at < len(bins) and bins[at][1] < end:
+                before = bins[at][1] if before is None else before
+                reached.append((bins[at][0], number, before))
+                at += 1
+        if not self.is_cut:
+            # few rows: at most two of the other table's runs have places among them, besides short ones
+            to = F.array(*[F.lit(run).cast("long") for _, run, _ in reached]).cast("array<long>")
+            return df.withColumn("_run", F.explode(to)).withColumn("_before", F.lit(0).cast("long"))
+        table = small_table(df.sparkSession, reached, _longs("_bin", "_run", "_before"))
+        return self._binned(df).drop("_axis", "_tie").join(F.broadcast(table), "_bin").drop("_bin")
+
+
 def _part_of(base: Column, by_tie: Column, lo: Column, width: Column, parts: Column) -> Column:
     """Bin of a row: the equal part of a division its order value falls into."""
     value = F.when(by_tie, F.col("_tie").cast("double")).otherwise(F.col("_axis").cast("double"))

@@ -1,10 +1,13 @@
 """Series cut into cells must give what plain windows give."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from meterflow.operators import joins
 from meterflow.operators.series import Series
 
 
@@ -111,3 +114,28 @@ def test_values_without_end(spark, chunk):
         assert cut.is_cut and not whole.is_cut
         assert same(cut.positions(df), whole.positions(df))
         assert max(run.end - run.start for run in cut.runs) <= chunk
+
+
+@pytest.mark.parametrize("nl, nr, offset, cl, cr", [
+    (1000, 1200, 5, None, None), (1000, 1200, 5, 100, 90), (600, 200, -7, 100, None), (200, 900, 700, None, 100),
+    (500, 500, 0, 30, 400), (50, 5, 100, 10, 2), (0, 5, 0, None, None),
+])
+def test_positional_join_of_cut_tables(spark, nl, nr, offset, cl, cr):
+    draw = random.Random(1)
+    left = [(float(draw.randrange(200)), i) for i in range(nl)]
+    right = [(draw.randrange(50), i) for i in range(nr)]
+    l = spark.createDataFrame(left, "t double, i long").repartition(3)  # noqa: E741
+    r = spark.createDataFrame(right, "t long, i long").repartition(4)
+    order = ("t", "i")
+    joined = joins.positional_join(
+        l, Series((), order, cl).measure(l), r, Series((), order, cr).measure(r), offset)
+    left.sort(), right.sort()
+    want = [(*left[i], *right[i + offset]) for i in range(nl) if 0 <= i + offset < nr]
+    assert sorted(tuple(row) for row in joined.collect()) == sorted(want)
+
+
+def test_positional_join_shuffles_each_side_once(spark):
+    l = spark.range(3000).select(F.col("id"), (F.col("id") % 7).alias("t"))  # noqa: E741
+    layouts = [Series((), ("t", "id"), chunk).measure(l) for chunk in (200, 300)]
+    plan = joins.positional_join(l, layouts[0], l, layouts[1], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
