@@ -11,8 +11,9 @@ from catalog.registry import query, r6
 from catalog.series import FEATURES, NUMERIC, USES, _prepared
 from catalog.views import Views
 from meterflow.functions.scalars import decode_params, logistic_map
-from meterflow.operators import metrics, models, moments, reports, search, splits
+from meterflow.operators import metrics, models, moments, reports, search, splits, svr
 from meterflow.plans import forecast, household, preprocess
+from meterflow.session import stored
 
 # Normal equations of the imputed and scaled features of the training and validation rows, by name
 # behind the intercept, and their solution: columns are eliminated one by one, and one whose rest is
@@ -111,6 +112,18 @@ def robust_linear(v: Views):
     return _shown(models.fit_and_score(models.robust_linear(), rows, stats, "robust").metrics)
 
 
+@query()
+def linear_svr(v: Views):
+    """Epsilon-insensitive fit with the defaults of the usual linear support vector regression."""
+    rows, stats = _lag_rows(v)
+    rows = stored(rows)
+    fit = svr.linear_svr(rows.where(F.col("split").isin("train", "val")))
+    scored = rows.where("split = 'test'").select(
+        stats.restored("y").alias("y_true"), stats.restored("y", fit.predicted()).alias("y_pred"))
+    shown = scored.withColumn("y_pred", metrics.clamped()).agg(*metrics.metric_columns())
+    return _shown(shown.withColumn("model", F.lit("svr")))
+
+
 @query()
 def gbt_forecast(v: Views):
     data = household.household_data(v.household(), 3, 7)

@@ -9,6 +9,8 @@ from catalog.registry import long, query, r6, text
 from catalog.views import READING_ORDER, Views
 from meterflow.operators import joins, scaling, splits, windows
 from meterflow.plans import household, preprocess
+from meterflow.session import shared_folder
+from meterflow.sources import splits as saved_splits
 
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 LAST = ("event_id", "hour")
@@ -163,6 +165,14 @@ def disjoint_split(v: Views):
     return preprocess.assign_splits(v.readings())
 
 
+@query(f"WITH {o.SPLITS} SELECT building_id, split FROM splits")
+def persisted_split(v: Views):
+    """The same split written to the shared folder, found there again by its fingerprint and read back."""
+    counts, folder = splits.group_counts(v.readings()), f"{shared_folder(v.spark)}/splits"
+    saved_splits.persisted_split(counts, folder)
+    return saved_splits.persisted_split(counts, folder).select("building_id", "split")
+
+
 @query(f"""WITH {o.SPLITS} SELECT event_id, split FROM readings JOIN splits USING (building_id)
 WHERE split IN ('train', 'val')""")
 def union_splits(v: Views):

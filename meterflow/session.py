@@ -56,12 +56,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read again: its lineage ends there.
-
-    Unlike a checkpoint it is computed a single time, and later passes read only the columns they use.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a private one only on a single machine that names none."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
@@ -69,9 +65,17 @@ def stored(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="meterflow-"))
         folder = context.getCheckpointDir()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read again: its lineage ends there.
+
+    Unlike a checkpoint it is computed a single time, and later passes read only the columns they use.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.operators.splits import SPLITS
+from meterflow.operators.splits import SPLITS, disjoint_split
 from meterflow.schema import SPLITS as SPLIT_SCHEMA
 
 IDS_PER_DOCUMENT = 10_000
@@ -61,3 +64,49 @@ def saved_or_new(
     if saved is None or saved.isEmpty():
         write_splits(build(), path, group)
     return read_splits(spark, path, group)
+
+
+def fingerprint(counts: DataFrame, group: str, parameters: dict) -> str:
+    """Name of a split: a digest of its group sizes, in whatever order, and of its parameters."""
+    row = F.xxhash64(group, "n")
+    sums = counts.agg(
+        F.count(F.lit(1)).alias("groups"), F.bit_xor(row).alias("either"),
+        F.sum(row.cast("decimal(20,0)")).alias("total"), F.sum("n").alias("rows")).first()
+    text = json.dumps([group, parameters, [str(value) for value in sums]], sort_keys=True, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
+def persisted_split(
+    counts: DataFrame, folder: str, group: str = "building_id", log: Callable[[str], None] | None = None,
+    **parameters,
+) -> DataFrame:
+    """The disjoint split of ``counts`` (group, ``n``), kept below ``folder`` under its fingerprint.
+
+    Other group sizes or parameters have another name, so a saved split is never used for inputs it
+    was not made from. It is written beside its place and moved there when complete; a folder without
+    the mark of a finished write does not count and is written anew. Of several writers at a time one
+    wins, with the same rows. ``log`` is told whether the split was ``built`` or ``loaded``.
+    """
+    spark = counts.sparkSession
+    name = f"split-{fingerprint(counts, group, parameters)}"
+    path = f"{folder.rstrip('/')}/{name}"
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path
+    place = hadoop(path)
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def complete() -> bool:
+        return files.exists(hadoop(place, "_SUCCESS"))
+
+    found = complete()
+    if not found:
+        # hidden: should another writer's finished split be there first, a move ends inside it unseen
+        beside = f"{folder.rstrip('/')}/.{name}.{uuid.uuid4().hex}"
+        write_splits(disjoint_split(counts, group=group, **parameters), beside, group)
+        if files.exists(place) and not complete():  # left behind by a writer that was stopped
+            files.delete(place, True)
+        if complete() or not files.rename(hadoop(beside), place):
+            files.delete(hadoop(beside), True)
+    if log:
+        log("loaded" if found else "built")
+    return read_splits(spark, path, group)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterflow.operators.resample import make_jobs
+from meterflow.operators.splits import disjoint_split
 from meterflow.schema import HOUSEHOLD, TRIALS
 from meterflow.sources import readers, results, splits
 
@@ -74,6 +75,29 @@ def test_split_files(spark, tmp_path):
     assert splits.saved_or_new(spark, fresh, lambda: pytest.fail("built twice")).count() == 25
 
 
+def test_persisted_split_is_used_for_its_own_inputs_only(spark, tmp_path):
+    folder, told = str(tmp_path / "kept"), []
+    counts = spark.range(30).selectExpr("id AS building_id", "id % 7 + 1 AS n").repartition(3)
+
+    def split(table, **parameters):
+        return sorted(map(tuple, splits.persisted_split(table, folder, log=told.append, **parameters).collect()))
+
+    direct = sorted(map(tuple, disjoint_split(counts).select("building_id", "split").collect()))
+    assert split(counts) == direct and split(counts.repartition(7).sort("n")) == direct
+    assert told == ["built", "loaded"]
+    changed = counts.withColumn("n", F.when(F.col("building_id") == 3, 50).otherwise(F.col("n")).cast("long"))
+    assert split(changed) == sorted(map(tuple, disjoint_split(changed).select("building_id", "split").collect()))
+    assert len(split(counts, limits={"train": 2})) < len(direct)
+    assert told[2:] == ["built", "built"]
+    # a folder without the mark of a finished write is no split
+    place = next(p for p in (tmp_path / "kept").iterdir() if p.name == f"split-{splits.fingerprint(counts, 'building_id', {})}")
+    (place / "_SUCCESS").unlink()
+    next(place.glob("part-*")).write_text('{"train": [999]}')
+    assert split(counts) == direct and told[4:] == ["built"]
+    assert split(counts) == direct and told[5:] == ["loaded"]
+    assert not [p for p in (tmp_path / "kept").iterdir() if p.name.startswith(".split")]
+
+
 def test_results_store(spark, tmp_path):
     store = results.ResultsStore(spark, str(tmp_path / "results"))
     first = spark.createDataFrame([(1.0,)], "RMSE double")
