@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry  # noqa: E402
+from catalog.registry import SQL  # noqa: E402
 from catalog.views import Views  # noqa: E402
 from meterflow.operators import metrics, reports, resample, splits, windows  # noqa: E402
 from meterflow.operators.series import Series  # noqa: E402
@@ -25,7 +26,7 @@ def exchanges(plan: str) -> list[str]:
     return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_no_query_multiplies_tables(spark, name):
     plan = plan_of(entry.queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan

@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
+from catalog.registry import SQL  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,7 +19,7 @@ def duck():
     return check.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, duck, name):
     note, good = check.compare(name, spark, duck, FOLDER)
     assert good, note
