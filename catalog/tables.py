@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import oracle as o
@@ -13,8 +15,10 @@ from meterflow.functions.calendar import calendar_features, holiday_flag, parse_
 from meterflow.operators import joins, metrics, reports, resample, scaling, splits
 from meterflow.operators.series import Series
 from meterflow.plans.baseline import naive_forecast_report
+from meterflow.session import shared_folder
 from meterflow.sources.results import latest_predictions, upserted
 from meterflow.sources.splits import explode_splits, split_documents
+from meterflow.sources.upserts import KeyedTable
 
 MEASURES = ("P", "Q", "V")
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -119,6 +123,20 @@ def info_upsert(v: Views):
     return upserted(old, new, ["key"])
 
 
+@query("""SELECT COALESCE(c_custkey, o_custkey) AS key, COALESCE(best, c_acctbal) AS value
+FROM customer FULL JOIN (
+  SELECT o_custkey, MAX(o_totalprice) AS best FROM orders
+  WHERE o_orderstatus = 'F' GROUP BY 1) ON c_custkey = o_custkey""")
+def upsert_table(v: Views):
+    """The same upsert into a table in the shared folder, read back."""
+    table = KeyedTable(v.spark, f"{shared_folder(v.spark)}/keyed-{uuid.uuid4().hex}", ["key"])
+    table.upsert(v.table("customer").selectExpr("c_custkey AS key", "c_acctbal AS value"))
+    table.upsert(
+        v.table("orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("key"))
+        .agg(F.max("o_totalprice").alias("value")))
+    return table.read()
+
+
 @query("SELECT event_id, user_id AS building_id, value FROM events WHERE event_type = 'view'")
 def filter_meter(v: Views):
     rows = v.readings().where(F.col("meter") == "view")
