@@ -137,6 +137,17 @@ def upsert_table(v: Views):
     return table.read()
 
 
+@query("""WITH seen AS (SELECT DISTINCT o_orderdate AS d FROM orders WHERE o_orderstatus = 'F'),
+placed AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS position FROM seen)
+SELECT o_orderkey, position, (SELECT COUNT(*) FROM seen) AS size
+FROM orders LEFT JOIN placed ON d = o_orderdate""")
+def one_hot_positions(v: Views):
+    """Places of a column of many values in a sparse vector, fitted on finished orders."""
+    orders = v.table("orders")
+    found, size = scaling.positioned(orders.where("o_orderstatus = 'F'"), orders, "o_orderdate")
+    return found.select("o_orderkey", "position", F.lit(size).cast("long").alias("size"))
+
+
 @query("SELECT event_id, user_id AS building_id, value FROM events WHERE event_type = 'view'")
 def filter_meter(v: Views):
     rows = v.readings().where(F.col("meter") == "view")

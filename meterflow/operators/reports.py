@@ -134,14 +134,29 @@ def improvements(curve: DataFrame, layout: Layout) -> DataFrame:
     return layout.over(curve, build, preceding=1).where(fell).drop("_before")
 
 
+#: Steps that one row is expanded to at a time; longer gaps are first cut, and the pieces dealt out.
+PIECE = 1 << 20
+
+
 def step_fill(events: DataFrame, series: Series) -> DataFrame:
-    """One row per evaluation from improvement events: each holds until the next one."""
+    """One row per evaluation from improvement events: each holds until the next one.
+
+    A gap is cut into pieces, these are shuffled, and each is expanded where it ends up: no array is
+    longer than the pieces of a gap or the steps of a piece, whatever the gap.
+    """
     at = series.order[0]
-    until = F.coalesce(F.col("_next") - 1, F.col(at))
     filled = series.measure(events, few=True).over(
         events, lambda w, pos: {"_next": F.lead(at).over(w)}, following=1
     )
-    return filled.withColumn(at, F.explode(F.sequence(F.col(at), until))).drop("_next")
+    spans = filled.withColumns({
+        "_from": F.col(at).cast("long"), "_to": F.coalesce(F.col("_next") - 1, F.col(at)).cast("long")})
+    for size in (PIECE * PIECE, PIECE):
+        spans = spans.withColumn("_start", F.explode(F.sequence("_from", "_to", F.lit(size).cast("long"))))
+        left = F.least(F.col("_to") - F.col("_start"), F.lit(size - 1))
+        spans = spans.withColumns({"_to": F.col("_start") + left, "_from": F.col("_start")})
+    dealt = spans.repartition(*series.keys, "_from")
+    step = F.explode(F.sequence("_from", "_to"))
+    return dealt.withColumn("_step", step).withColumn(at, F.col("_step").cast(events.schema[at].dataType)).select(*events.columns)
 
 
 def label_from_name(name: Column, labels: Sequence[tuple[str, str]], default: Column) -> Column:

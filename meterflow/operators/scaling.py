@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterflow.session import stored
+
 
 def nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Turn NaN into null, so that aggregates skip it."""
@@ -91,16 +92,41 @@ def one_hot(df: DataFrame, column: str, values: Sequence, keep: bool = False) ->
     return out if keep else out.drop(column)
 
 
+def value_positions(train: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The distinct values of ``column`` in ascending order with ``position`` from 0, and their number.
+
+    A table like any other: values are dealt to ranges, numbered inside them, and the sizes of the
+    ranges say where each begins. No list of values reaches the driver. Nulls have no position.
+    """
+    values = train.select(column).where(F.col(column).isNotNull()).distinct()
+    ranged = stored(values.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(column))
+    numbered = ranged.join(F.broadcast(starts), "_part").select(
+        column, (F.col("_start") + inside - 1).alias("position"))
+    return numbered, ranged.count()
+
+
+def positioned(train: DataFrame, df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """``df`` with ``position``, where the value of ``column`` stands among those of ``train``, and the
+    number of these; null and unseen values have none."""
+    positions, size = value_positions(train, column)
+    return df.join(positions, column, "left"), size
+
+
 def sparse_one_hot(train: DataFrame, df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with a sparse 0/1 vector over the values that ``column`` has in ``train``.
 
-    Null and unseen values give a vector of zeros.
+    Null and unseen values give a vector of zeros. Any number of values will do.
     """
-    steps = Pipeline(stages=[
-        StringIndexer(inputCol=column, outputCol="_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCol="_index", outputCol=name, dropLast=True),
-    ])
-    return steps.fit(train).transform(df).drop("_index")
+    found, size = positioned(train, df, column)
+    found = found.withColumn("_index", F.coalesce("position", F.lit(size)).cast("double")).drop("position")
+    # one index more than there are values stands for none of them, and has no place in the vector
+    last = df.sparkSession.range(1).select(F.lit(float(size)).alias("_index"))
+    encoder = OneHotEncoder(inputCol="_index", outputCol=name, dropLast=True).fit(last)
+    return encoder.transform(found).select(*df.columns, name)
 
 
 def align_columns(frames: Sequence[DataFrame], fill: float = 0.0) -> DataFrame:

@@ -393,3 +393,30 @@ def test_means_do_not_depend_on_the_lattice(spark):
                                "timestamp timestamp, P double").repartition(7)
     day = resample.resample_all(df, resample.make_jobs(["1T", "1D"]), ["P"]).where("interval = '1D'").first()
     assert day.P == math.fsum(values) / len(values)
+
+
+def test_positions_of_values(spark):
+    train = at(spark, ("b",), ("é",), ("b",), (None,), ("",), ("B",), columns="c string").repartition(4)
+    df = at(spark, (1, "b"), (2, None), (3, "new"), (4, ""), (5, "é"), (6, "b"), columns="id long, c string")
+    found, size = scaling.positioned(train, df, "c")
+    assert size == 4
+    assert {r.id: r.position for r in found.collect()} == {1: 2, 2: None, 3: None, 4: 0, 5: 3, 6: 2}
+    empty = scaling.sparse_one_hot(train.where("c IS NULL"), df, "c", "v").collect()
+    assert len(empty) == 6 and all(r.v.numNonzeros() == 0 for r in empty)
+
+
+def test_long_gaps_are_expanded_piece_by_piece(spark, monkeypatch):
+    monkeypatch.setattr(reports, "PIECE", 8)
+    events = at(spark, ("a", 1, 9.0), ("a", 2000, 5.0), ("b", -70, 3.0), ("b", 0, 2.0), columns="k string, i int, v double")
+    filled = reports.step_fill(events, Series(["k"], ("i", "i")))
+    assert filled.columns == events.columns and dict(filled.dtypes)["i"] == "int"
+    want = [("a", i, 9.0) for i in range(1, 2000)] + [("a", 2000, 5.0)]
+    want += [("b", i, 3.0) for i in range(-70, 0)] + [("b", 0, 2.0)]
+    assert sorted(map(tuple, filled.collect())) == sorted(want)
+
+
+def test_a_gap_of_a_hundred_million_steps(spark):
+    events = at(spark, ("a", 1, 9.0), ("a", 10**8, 5.0), columns="k string, i long, v double")
+    filled = reports.step_fill(events, Series(["k"], ("i", "i")))
+    row = filled.agg(F.count("i").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.sum("i").alias("s")).first()
+    assert (row.n, row.lo, row.hi, row.s) == (10**8, 1, 10**8, 10**8 * (10**8 + 1) // 2)
