@@ -8,6 +8,7 @@ from catalog import oracle as o
 from catalog.registry import long, query, r6, text
 from catalog.views import READING_ORDER, Views
 from meterflow.operators import joins, scaling, splits, windows
+from meterflow.operators.series import Series
 from meterflow.plans import household, preprocess
 from meterflow.session import shared_folder
 from meterflow.sources import splits as saved_splits
@@ -43,6 +44,21 @@ def moving_average(v: Views):
     return out.select("event_id", r6("moving_average"))
 
 
+@query("""SELECT event_id, ROUND(MEDIAN(value) OVER (
+  ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS moving_median
+FROM events""")
+def moving_median(v: Views):
+    """Pandas code over the one long series of the household, in runs of 2,000 rows."""
+    rows = v.household().select("event_id", "timestamp", "P")
+
+    def medians(frame):
+        return frame[["event_id"]].assign(moving_median=frame["P"].rolling(10, min_periods=1).median())
+
+    layout = Series((), READING_ORDER, 2000).measure(rows)
+    out = layout.apply(rows, medians, "event_id long, moving_median double", preceding=9)
+    return out.select("event_id", r6("moving_median"))
+
+
 def _steps(columns: tuple[str, ...], length: int, over: str = "w") -> str:
     """SQL: the windows' elements, oldest step first."""
     cells = [

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import accumulate, groupby
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -328,16 +329,44 @@ class Layout:
         if not self.is_cut:
             whole = self._window()
             return df.withColumns(build(whole, F.row_number().over(whole)))
+        inside = self._window("_run")
+        return (
+            self._spread(df, preceding, following).withColumns(build(inside, self._position(inside, preceding)))
+            .where(~F.col("_copy")).drop("_run", "_start", "_copy")
+        )
+
+    def _spread(self, df: DataFrame, preceding: int, following: int) -> DataFrame:
+        """Rows by run, with copies (``_copy``) of those that frames reach in neighbouring runs."""
         rows = self.placed(df)
         spread = rows.drop("_bin").withColumn("_copy", F.lit(False))
         for reach, last in ((preceding, True), (following, False)):
             if reach:
                 spread = spread.unionByName(self._copies(rows, reach, last))
-        inside = self._window("_run")
-        return (
-            spread.withColumns(build(inside, self._position(inside, preceding)))
-            .where(~F.col("_copy")).drop("_run", "_start", "_copy")
-        )
+        return spread
+
+    def apply(
+        self, df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str,
+        preceding: int = 0, following: int = 0,
+    ) -> DataFrame:
+        """Arbitrary code over every series: ``function`` maps ordered rows to as many rows.
+
+        It sees a whole series or, of a cut one, a run with the ``preceding`` rows before it and the
+        ``following`` rows after it; what it returns for these is dropped. So no task holds a long
+        series, and a function that looks no further gives the same either way.
+        """
+        order, columns = list(self.series.order), df.columns
+        rows = self._spread(df, preceding, following) if self.is_cut else df.withColumns(
+            {"_run": F.lit(None).cast("long"), "_copy": F.lit(False)})
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(list(dict.fromkeys(order)), kind="stable")
+            own = ~frame["_copy"].to_numpy()
+            found = function(frame[columns].reset_index(drop=True))
+            if len(found) != len(own):
+                raise ValueError(f"{len(found)} rows returned for {len(own)}")
+            return found[own]
+
+        return rows.groupBy(*self.series.keys, "_run").applyInPandas(run, schema)
 
     def _copies(self, rows: DataFrame, reach: int, last: bool) -> DataFrame:
         """The last (or first) rows of every run, once for each run whose frames reach them.

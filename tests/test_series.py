@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meterflow.operators import joins
@@ -139,3 +140,26 @@ def test_positional_join_shuffles_each_side_once(spark):
     layouts = [Series((), ("t", "id"), chunk).measure(l) for chunk in (200, 300)]
     plan = joins.positional_join(l, layouts[0], l, layouts[1], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_code_over_cut_and_whole_series(spark):
+    """A third of the rows in one group: runs with their halo give what whole groups give."""
+    df = spark.range(900).selectExpr(
+        "IF(id % 3 = 0, 0, IF(id % 50 = 1, NULL, id % 20)) AS k", "id * 37 % 301 AS t", "id", "CAST(id * 13 % 97 AS DOUBLE) AS v")
+
+    def smooth(frame):
+        mean = frame["v"].rolling(7, center=True, min_periods=1).mean()
+        return frame[["id"]].assign(mean=mean)
+
+    results = []
+    for chunk in (40, 100_000):
+        layout = Series(["k"], ("t", "id"), chunk).measure(df)
+        assert layout.is_cut == (chunk == 40)
+        results.append({r.id: r["mean"] for r in layout.apply(df, smooth, "id long, mean double", 3, 3).collect()})
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(-3, 3)
+    plain = {r.id: r["m"] for r in df.select("id", F.avg("v").over(w).alias("m")).collect()}
+    for found in results:
+        assert found.keys() == plain.keys()
+        assert all(found[i] == pytest.approx(plain[i]) for i in plain)
+    with pytest.raises(Exception, match="rows returned"):
+        Series(["k"], ("t", "id")).measure(df).apply(df, lambda f: f[["id"]].head(1), "id long").collect()
