@@ -9,20 +9,18 @@ work is done on own copies of the id and the url, so other columns never matter.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from meterflow.llm.common import stored
+from meterflow.llm.common import discard, stored
 
 #: Segments with a digit vary by nature: numbers, dates, hashes.
-VARIABLE = re.compile(r"[0-9]")
+VARIABLE = "[0-9]"
+#: Levels of the tree; what is left of a longer path is the segment of the last one.
+LEVELS = 12
 
 
 @dataclass(frozen=True)
@@ -57,86 +55,71 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return text, verdict
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def shape(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Segments of a path, those with digits as ``*``."""
-    for batch in paths:
-        yield batch.map(lambda p: ["*" if VARIABLE.search(s) else s for s in p.split("/") if s])
+def shape(path: Column) -> Column:
+    """Segments of a path, those with digits as ``*``; from the last level on they are one segment."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    tail = F.array_join(F.slice(segments, LEVELS, 2**31 - 1), "/")
+    cut = F.when(F.size(segments) > LEVELS, F.concat(F.slice(segments, 1, LEVELS - 1), F.array(tail))).otherwise(segments)
+    return F.transform(cut, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def parents(hosts: pd.Series, shapes: pd.Series) -> pd.Series:
-    """For each segment the number of the tree node that it hangs under."""
-    def chain(host: str, segments: np.ndarray) -> list[int]:
-        at, out = hash_text(host, 7), []
-        for segment in segments:
-            out.append(at)
-            at = hash_text(segment, at)
-        return out
+def _generalised(nodes: DataFrame, min_count: int, z: float) -> DataFrame:
+    """What each segment (``node``, ``segment``) becomes: itself, ``+`` or ``*``.
 
-    return pd.Series([chain(h, s) for h, s in zip(hosts, shapes)])
-
-
-def hash_text(text: str, seed: int) -> int:
-    value = (seed ^ 0xCBF29CE484222325) & (2**64 - 1)
-    for byte in text.encode("utf-8", "surrogatepass"):
-        value = (value ^ byte) * 0x100000001B3 & (2**64 - 1)
-    return value - 2**64 if value >= 2**63 else value
+    A segment of fewer than ``min_count`` rows, or one with digits, is a wildcard. The others are
+    held against the middle share of rejects among their siblings: those that lie within ``z`` standard
+    errors and one row of what it lets expect are alike and become one branch, the rest stay themselves.
+    """
+    kids = nodes.groupBy("node", "segment").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    named = kids.where((F.col("segment") != "*") & (F.col("rows") >= min_count))
+    rate = F.col("b") / F.when(F.col("n") > 0, F.col("n"))
+    pooled = named.groupBy("node").agg(
+        F.coalesce(F.percentile_approx(rate, 0.5, F.lit(1000)), F.lit(0.0)).alias("middle"), F.sum("n").alias("pn"),
+        F.count(F.lit(1)).alias("siblings"))
+    share = (F.col("middle") * F.col("pn") + 0.5) / (F.col("pn") + 1)
+    alike = F.abs(F.col("b") - F.col("n") * share) <= z * F.sqrt(F.col("n") * share * (1 - share)) + 1
+    told = named.join(pooled, "node").select("node", "segment", F.when(
+        alike & (F.col("siblings") > 1), "+").otherwise(F.col("segment")).alias("token"))
+    return kids.select("node", "segment").join(told, ["node", "segment"], "left").select(
+        "node", "segment", F.coalesce("token", F.lit("*")).alias("token"))
 
 
-def template_tree(
-    urls: DataFrame, min_count: int = 5, min_share: float = 0.02, z: float = 2.0,
-    strength: float = 8.0,
-) -> DataFrame:
+def template_tree(urls: DataFrame, min_count: int = 5, z: float = 2.0, strength: float = 8.0) -> DataFrame:
     """Templates of the hosts of ``urls`` (host, shape, bad): host, shape, template, purity.
 
-    ``bad`` is 1.0 for a labelled url to reject, 0.0 for one to keep, null without a label.
-    A segment stays literal if its node holds it ``min_count`` times and in ``min_share`` of
-    its rows, else it becomes a wildcard. Templates that differ in their last literal only are
-    merged unless a branch's number of rejects lies more than ``z`` standard errors and one row
-    from what the middle share of all of them lets expect. ``purity`` is the share of rejects of the merged branch, smoothed by ``strength``
-    rows at the host's share, itself smoothed towards that of all hosts.
+    ``bad`` is 1.0 for a labelled url to reject, 0.0 for one to keep, null without a label. The tree
+    grows level by level: a node is named by its already generalised way from the host, so the children
+    of all branches that were merged or made wildcards are one set, and segments that are rare under each
+    of them are frequent under all. ``purity`` is the share of rejects of a template, smoothed by
+    ``strength`` rows at the host's share, itself smoothed towards that of all hosts.
     """
     shapes = stored(urls.groupBy("host", "shape").agg(
-        F.count("*").alias("rows"), F.count("bad").alias("labelled"), F.sum("bad").alias("rejects"),
-    ).withColumn("rejects", F.coalesce("rejects", F.lit(0.0))).withColumn("nodes", parents("host", "shape")))
-    steps = shapes.select("host", "shape", "rows", F.posexplode(F.arrays_zip("nodes", "shape")).alias("at", "s")).select(
-        "host", "shape", "rows", "at", F.col("s.nodes").alias("node"), F.col("s.shape").alias("segment"))
-    branches = steps.groupBy("node", "segment").agg(F.sum("rows").alias("held"))
-    under = branches.groupBy("node").agg(F.sum("held").alias("all_held"))
-    literal = branches.join(under, "node").where(
-        (F.col("segment") != "*") & (F.col("held") >= min_count)
-        & (F.col("held") >= min_share * F.col("all_held"))).select("node", "segment", F.lit(True).alias("literal"))
-    tokens = steps.join(literal, ["node", "segment"], "left").groupBy("host", "shape").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "at", F.when(F.col("literal"), F.col("segment")).otherwise("*").alias("token")))).alias("t"))
-    templates = shapes.drop("nodes").join(tokens, ["host", "shape"], "left").withColumn(
-        "tokens", F.coalesce(F.col("t.token"), F.array().cast("array<string>")))
-    count = F.size("tokens")
-    turned = F.reverse("tokens")
-    last = count - F.coalesce(F.array_position(F.transform(turned, lambda x: x != "*"), True), F.lit(0)) + 1
-    general = F.when(last <= count, F.transform(
-        "tokens", lambda x, i: F.when(i == last - 1, "+").otherwise(x))).otherwise(F.col("tokens"))
-    templates = templates.withColumn("general", general)
-    single = templates.groupBy("host", "general", "tokens").agg(
-        F.sum("labelled").alias("n"), F.sum("rejects").alias("b"))
-    rate = F.col("b") / F.when(F.col("n") > 0, F.col("n"))
-    pooled = single.groupBy("host", "general").agg(
-        F.coalesce(F.percentile_approx(rate, 0.5, F.lit(1000)), F.lit(0.0)).alias("middle"), F.sum("n").alias("pn"))
-    share = (F.col("middle") * F.col("pn") + 0.5) / (F.col("pn") + 1)
-    similar = F.abs(F.col("b") - F.col("n") * share) <= z * F.sqrt(F.col("n") * share * (1 - share)) + 1
-    judged = single.join(pooled, ["host", "general"]).withColumn("merged", similar)
-    merged = judged.where("merged").groupBy("host", "general").agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
-    hosts = single.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
-    total = single.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+        F.count("*").alias("rows"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("b")))
+    deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
+    tree = shapes.withColumns({
+        "node": F.xxhash64("host"), "tokens": F.array().cast("array<string>")})
+    for level in range(deepest):
+        segment = F.get("shape", F.lit(level))
+        rows = tree.withColumn("segment", segment)
+        said = _generalised(rows.where("segment IS NOT NULL"), min_count, z)
+        grown = rows.join(said, ["node", "segment"], "left")
+        more = F.col("token").isNotNull()
+        last, tree = tree, stored(grown.select(
+            "host", "shape", "rows", "n", "b",
+            F.when(more, F.xxhash64("node", "token")).otherwise(F.col("node")).alias("node"),
+            F.when(more, F.array_append("tokens", F.col("token"))).otherwise(F.col("tokens")).alias("tokens")))
+        if level:
+            discard(last)
+    branches = tree.groupBy("host", "tokens").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    hosts = shapes.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
+    total = shapes.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
     prior = (total.b or 0.0) / total.n if total.n else 0.0
     host_share = (F.col("hb") + strength * prior) / (F.col("hn") + strength)
-    branch = judged.join(merged, ["host", "general"], "left").join(hosts, "host").select(
-        "host", "tokens", F.when(F.col("merged"), F.col("general")).otherwise(F.col("tokens")).alias("branch"),
-        ((F.when(F.col("merged"), F.col("mb")).otherwise(F.col("b")) + strength * host_share)
-         / (F.when(F.col("merged"), F.col("mn")).otherwise(F.col("n")) + strength)).alias("purity"))
-    return templates.select("host", "shape", "tokens").join(branch, ["host", "tokens"]).select(
-        "host", "shape", F.concat_ws("/", F.lit(""), "branch").alias("template"), "purity")
+    branches = branches.join(hosts, "host").select(
+        "host", "tokens", ((F.col("b") + strength * host_share) / (F.col("n") + strength)).alias("purity"))
+    return tree.select("host", "shape", "tokens").join(branches, ["host", "tokens"]).select(
+        "host", "shape", F.concat_ws("/", F.lit(""), "tokens").alias("template"), "purity")
 
 
 def judge_urls(
@@ -150,7 +133,7 @@ def judge_urls(
     """
     host, path = url_parts(F.col(url_column))
     parsed = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
-    parsed = parsed.withColumn("shape", shape("path"))
+    parsed = parsed.withColumn("shape", shape(F.col("path")))
     marks = labels.select("id", "bad").where("id is not null and bad is not null").groupBy("id").agg(
         F.max("bad").cast("double").alias("bad"))
     tree_of = stored(template_tree(parsed.join(marks, "id", "left").select("host", "shape", "bad"), **tree))

@@ -1,3 +1,7 @@
+import collections
+import math
+import random
+
 from meterflow.llm import urltree
 from meterflow.llm.queries import URL_RULES
 
@@ -55,3 +59,66 @@ def test_edges(spark):
     got = judged(spark, rows, labels)
     assert set(got) == {1, None, 3, 4} and all(r.verdict in ("allow", "block") for r in got.values())
     assert judged(spark, [], labels) == {}
+
+
+def brute(urls, labels, min_count=5, z=2.0, strength=8.0):
+    """Template and purity of each url, the tree built level by level in plain Python."""
+    rows = []
+    for i, url in urls:
+        host, path, _ = by_hand(url)
+        rows.append([host, ["*" if any(c.isdigit() for c in s) else s for s in path.split("/") if s], labels.get(i), ()])
+    for level in range(max(len(r[1]) for r in rows)):
+        kids = collections.defaultdict(list)
+        for host, segments, bad, tokens in rows:
+            if level < len(segments):
+                kids[host, tokens, segments[level]].append(bad)
+        told = {}
+        for node in {k[:2] for k in kids}:
+            counts = {k[2]: (sum(b is not None for b in v), sum(b or 0 for b in v)) for k, v in kids.items()
+                      if k[:2] == node and k[2] != "*" and len(v) >= min_count}
+            rates = sorted(b / n for n, b in counts.values() if n)
+            middle = rates[math.ceil(len(rates) / 2) - 1] if rates else 0.0
+            total = sum(n for n, _ in counts.values())
+            share = (middle * total + 0.5) / (total + 1)
+            for segment, (n, b) in counts.items():
+                alike = abs(b - n * share) <= z * math.sqrt(n * share * (1 - share)) + 1
+                told[(*node, segment)] = "+" if alike and len(counts) > 1 else segment
+        for row in rows:
+            if level < len(row[1]):
+                row[3] = (*row[3], told.get((row[0], row[3], row[1][level]), "*"))
+    n = sum(r[2] is not None for r in rows)
+    prior = sum(r[2] or 0 for r in rows) / n if n else 0.0
+
+    def smooth(chosen, towards):
+        known = [r[2] for r in chosen if r[2] is not None]
+        return (sum(known) + strength * towards) / (len(known) + strength)
+
+    hosts = {h: smooth([r for r in rows if r[0] == h], prior) for h in {r[0] for r in rows}}
+    return {i: ("".join("/" + t for t in r[3]), smooth([q for q in rows if (q[0], q[3]) == (r[0], r[3])], hosts[r[0]]))
+            for (i, _), r in zip(urls, rows)}
+
+
+def test_tree_equals_brute_force(spark):
+    draw = random.Random(11)
+    words = ["a", "b", "blog", "shop", "spam", "x1", "2024", "p", "q"]
+    urls = [(i, f"http://{draw.choice(['h.test', 'h.test', 'g.test'])}/" + "/".join(
+        draw.choice(words[:3 + 2 * k]) for k in range(draw.randrange(4)))) for i in range(700)]
+    labels = {i: float("spam" in u and draw.random() < 0.9 or draw.random() < 0.1) for i, u in urls if i % 3}
+    got = judged(spark, urls, list(labels.items()), rules=())
+    for i, (template, purity) in brute(urls, labels).items():
+        assert got[i].template == template and abs(got[i].purity - purity) < 1e-9
+
+
+def test_a_bad_section_among_many(spark):
+    rows = [(s * 100 + i, f"http://big.test/s{chr(97 + s // 26)}{chr(97 + s % 26)}/page-{i}") for s in range(100) for i in range(100)]
+    got = judged(spark, rows, [(i, float(i // 100 == 37)) for i, _ in rows], rules=())
+    assert all((got[i].verdict == "block") == (i // 100 == 37) for i, _ in rows)
+
+
+def test_the_same_bad_page_under_every_user(spark):
+    for pages in (1, 7):  # users rare and frequent
+        names = [f"{chr(97 + u // 26)}{chr(97 + u % 26)}" for u in range(60)]
+        urls = [f"http://home.test/{name}/{page}" for name in names for page in ["spam", "about", "home"] * pages]
+        rows = list(enumerate(urls))
+        got = judged(spark, rows, [(i, float(u.endswith("spam"))) for i, u in rows], rules=())
+        assert all((got[i].verdict == "block") == u.endswith("spam") for i, u in rows)
