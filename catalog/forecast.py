@@ -96,7 +96,7 @@ def feature_importance(v: Views):
 @query()
 def rf_forecast(v: Views):
     rows, stats = _lag_rows(v)
-    return _shown(models.fit_and_score(models.forest(), rows, stats, "forest").metrics)
+    return _shown(models.fit_and_score(models.forest(), stored(rows), stats, "forest").metrics)
 
 
 @query()

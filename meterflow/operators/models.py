@@ -12,10 +12,11 @@ from pyspark.ml import Model, Transformer
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterflow.operators.forest import Forest, ForestModel
 from meterflow.operators.metrics import clamped, metric_columns
 from meterflow.operators.scaling import ColumnStats
 
@@ -52,11 +53,9 @@ def robust_linear(regularization: float = 1e-3, tolerance: float = 1e-4) -> Line
     )
 
 
-def forest(trees: int = 100, depth: int = 30, seed: int = 0) -> RandomForestRegressor:
-    """Random forest over square-root feature subsets. Spark trees stop at depth 30."""
-    return RandomForestRegressor(
-        labelCol="y", numTrees=trees, maxDepth=min(depth, 30), featureSubsetStrategy="sqrt", seed=seed
-    )
+def forest(trees: int = 100, depth: int = 30, seed: int = 0) -> Forest:
+    """Random forest over square-root feature subsets. Trees stop at depth 30."""
+    return Forest(trees, min(depth, 30), seed)
 
 
 def boosted(
@@ -113,12 +112,12 @@ def fourier_features(
 class Scored:
     """A fitted model, its predictions on the original scale and its metrics."""
 
-    model: Model
+    model: Model | ForestModel
     predictions: DataFrame
     metrics: DataFrame
 
 
-def score(model: Transformer, rows: DataFrame, stats: ColumnStats, clamp: bool = True) -> DataFrame:
+def score(model: Transformer | ForestModel, rows: DataFrame, stats: ColumnStats, clamp: bool = True) -> DataFrame:
     """Predictions and truth on the original scale; negative predictions count as zero."""
     out = model.transform(rows).withColumns({
         "y_true": stats.restored("y"), "y_pred": stats.restored("y", F.col("prediction")),
@@ -127,7 +126,7 @@ def score(model: Transformer, rows: DataFrame, stats: ColumnStats, clamp: bool =
 
 
 def fit_and_score(
-    estimator: Estimator,
+    estimator: Estimator | Forest,
     rows: DataFrame,
     stats: ColumnStats,
     name: str,
@@ -161,9 +160,9 @@ def training_info(scored: Scored, rows: DataFrame, features: Sequence[str]) -> D
     return counts.join(scored.metrics)
 
 
-def save_model(model: Model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Model | ForestModel, path: str) -> None:
+    (model if isinstance(model, ForestModel) else model.write().overwrite()).save(path)
 
 
-def load_model(kind: type[Model], path: str) -> Model:
+def load_model(kind: type[Model | ForestModel], path: str) -> Model | ForestModel:
     return kind.load(path)
