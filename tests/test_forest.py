@@ -98,3 +98,93 @@ def test_depth_and_unusable_rows(spark):
     for bad in (df.limit(0), df.withColumn("y", F.lit(float("nan"))), df.withColumn("y", F.lit(None).cast("double"))):
         with pytest.raises(ValueError):
             forest.Forest(trees=3).fit(bad)
+
+
+def test_values_of_trees_are_added_in_arrays(spark):
+    """A row of Spark for each tree and row to predict would be a hundred times the table."""
+    df = table(spark, 600)
+    plan = forest.Forest(trees=4).fit(df).transform(df)._jdf.queryExecution().toString()
+    assert "avg(value" not in plan and "MapInArrow means" in plan.replace("mapInArrow", "MapInArrow")
+
+
+@pytest.mark.parametrize("size", range(1, 20))
+def test_network_sorts(size):
+    lines = np.random.default_rng(size).integers(0, 40, (size, 500))
+    wanted = np.sort(lines, axis=0)
+    forest.exchanged(lines, forest.network(size))
+    assert (lines == wanted).all()
+
+
+@pytest.mark.parametrize("nodes", [3, 5000])
+def test_features_of_a_node_are_those_of_the_least_marks(nodes):
+    paths = forest.mixed(np.arange(nodes, dtype=np.uint64))
+    for size in (1, 2, 18, 40):
+        marks = forest.mixed(paths[:, None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        assert (forest.drawn_features(paths, size) == np.sort(np.argsort(marks, axis=1)[:, : int(np.ceil(np.sqrt(size)))], axis=1)).all()
+
+
+def test_draws_of_mixed_copies_are_those_of_each_row():
+    rng = np.random.default_rng(0)
+    keys, copies = forest.mixed(np.arange(3000, dtype=np.uint64)), rng.choice([1, 2, 7, 9, 360], 3000)
+    alone = [forest.draws(keys[i : i + 1], copies[i : i + 1], 5)[0] for i in range(3000)]
+    assert forest.draws(keys, copies, 5).tolist() == alone
+    assert len(forest.draws(keys[:0], copies[:0], 5)) == 0
+
+
+@pytest.mark.parametrize("chunk", [20, 300, 10**6])
+def test_tree_equals_that_of_growing_node_by_node(chunk, monkeypatch):
+    """However many rows are looked at together, and with small nodes that wait for others."""
+    monkeypatch.setattr(forest, "CHUNK", chunk)
+    monkeypatch.setattr(forest, "FEW_NODES", 2)
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, [2, 3, 7, 32, 32, 32], (900, 6)).astype(np.uint8)
+    w, y = rng.integers(1, 4, 900), rng.integers(0, 1000, 900).astype(float)
+    tree = forest.grow(codes, w, y, forest.root_path(0, 0), 9, 32)
+    node_count, waiting = 0, [(0, np.arange(900), forest.root_path(0, 0), 9)]
+    while waiting:
+        node, rows, path, depth = waiting.pop()
+        node_count += 1
+        assert tree.value[node] == pytest.approx((w[rows] * y[rows]).sum() / w[rows].sum())
+        gain = best_cut(codes[rows], w[rows], y[rows], forest.drawn_features(path, 6)[0])[0] if depth else 0.0
+        if tree.feature[node] < 0:
+            assert gain == pytest.approx(0.0, abs=1e-6)
+            continue
+        f, cut = tree.feature[node], tree.cut[node]
+        side = codes[rows, f] > cut
+        assert f in forest.drawn_features(path, 6)[0] and side.any() and not side.all()
+        assert best_cut(np.where(codes[rows][:, [f]] > cut, 1, 0), w[rows], y[rows], [0])[0] == pytest.approx(gain)
+        waiting += [(tree.left[node] + k, rows[side == k], forest.child_paths(path)[k : k + 1], depth - 1) for k in (0, 1)]
+    assert node_count == len(tree.feature)
+    found = np.empty(900, np.int64)
+    for leaf, rows in tree.parted(codes, np.arange(900)):
+        found[rows] = leaf
+    assert (tree.leaves(codes) == found).all()
+    some = np.unique(found)[::5]
+    assert {leaf for leaf, _ in tree.parted(codes, np.arange(900), tree.leading_to(some))} >= set(some)
+
+
+def test_quantiles_of_many_rows(spark):
+    for n in (4000, 60_000):
+        rows = spark.range(n).select(F.array(F.pmod("id", F.lit(5)).cast("double"), F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("double"), F.lit(3.0)).alias("x"))
+        few, many, one = forest.bin_thresholds_of_many(rows.repartition(3), 3, 32)
+        assert few.tolist() == [0.5, 1.5, 2.5, 3.5] and len(one) == 0 and len(many) == 31
+        values = np.array([r.x[1] for r in rows.collect()])
+        assert np.abs((values[:, None] <= many).mean(0) - np.arange(1, 32) / 32).max() < 2 / min(n, forest.RANKS)
+
+
+def test_values_at_equal_ranks_stand_for_all(monkeypatch):
+    monkeypatch.setattr(forest, "RANKS", 500)
+    rng = np.random.default_rng(2)
+    parts = [rng.normal(size=20_000) for _ in range(3)]
+    kept = [forest.ranked(x) for x in parts]
+    values, counts = forest.ranked(*map(np.concatenate, zip(*kept)))
+    assert len(values) == 500 and counts.sum() == 60_000 and (np.diff(values) > 0).all()
+    there = np.sort(np.concatenate(parts))
+    assert np.abs(np.searchsorted(there, values) - (np.cumsum(counts) - counts / 2)).max() < 60_000 / 250
+    assert [x.tolist() for x in forest.ranked(np.array([3.0, 1.0, 3.0]), np.array([5, 2, 1]))] == [[1.0, 3.0], [2, 6]]
+
+
+def test_forest_with_batch_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(forest, "MANY", 10)  # the driver chooses
+    df = table(spark, 6000)
+    assert models.fit_and_score(models.forest(20), df, STATS, "forest").metrics.first().R2 > 0.9
